@@ -177,3 +177,26 @@ def descendants(tree_paths: DataFrame) -> DataFrame:
     return tree_paths.select(F.col("id").alias("descendant"), F.size("path").alias("_n"), F.posexplode("path").alias("_i", "ancestor")).where(
         "ancestor <> descendant"
     ).select("ancestor", "descendant", (F.col("_n") - 1 - F.col("_i")).alias("distance"))
+
+
+def climb(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ended, endless) of edges (id, parent), each id once.
+
+    ended(id, root, level): where the line upwards ends, and after how many steps. endless(id): nodes that no round of
+    topological sorting releases, because they are on a cycle or hang on one. A round releases twice as many levels as
+    the one before; a round that releases nothing is the last, since levels have no gaps.
+    """
+    state = edges.select("id", F.col("parent").alias("root"), F.lit(1).cast("long").alias("level"), F.lit(True).alias("open"))
+    state = checkpoint(state)
+    before = None
+    for _ in range(MOST_ROUNDS):
+        left = state.where("open").count()
+        if left == 0 or left == before:
+            break
+        before = left
+        ahead = state.select(F.col("id").alias("_at"), F.col("root").alias("_root"), F.col("level").alias("_level"), F.col("open").alias("_open"))
+        moved = state.where("open").join(ahead, F.col("root") == F.col("_at"), "left").select(
+            "id", F.coalesce("_root", "root").alias("root"), (F.col("level") + F.coalesce("_level", F.lit(0))).alias("level"), F.coalesce("_open", F.lit(False)).alias("open")
+        )
+        state = checkpoint(moved.unionByName(state.where("not open")))
+    return state.where("not open").drop("open"), state.where("open").select("id")

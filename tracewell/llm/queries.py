@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import conversations, packing, tokens
+from tracewell.llm import conversations, leakage, packing, tokens
 from tracewell.session import table
 
 
@@ -41,5 +41,15 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(_packed(spark, d), table(spark, d, "context_windows"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_turns, p6_alternation, p8_packing, p8_fill)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with each evaluation item that leaked into it."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per leaked item."""
+    return p9_found(spark, d).groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_turns, p6_alternation, p8_packing, p8_fill, p9_found, p9_report)}
 ORACLE: dict[str, str] = {}

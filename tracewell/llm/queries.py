@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import conversations, leakage, packing, tokens
+from tracewell.llm import conversations, leakage, packing, reading, tokens
 from tracewell.session import table
 
 
@@ -51,5 +51,20 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_turns, p6_alternation, p8_packing, p8_fill, p9_found, p9_report)}
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The level of every running text."""
+    return _levels(spark, d).select("doc_id", "reading_level")
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Texts per source and level."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return _levels(spark, d).join(docs, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("texts"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_turns, p6_alternation, p8_packing, p8_fill, p9_found, p9_report, p10_found, p10_profile)}
 ORACLE: dict[str, str] = {}

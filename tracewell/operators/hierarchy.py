@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.session import checkpoint
+from tracewell.session import checkpoint, release
 
 #: Brothers are ordered inside this many parts, so that no node's children are sorted in one task.
 SIBLING_PARTS = 64
@@ -49,7 +49,9 @@ def peel(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         before = left
         far = jump.select(F.col("id").alias("_at"), F.col("hit").alias("_far"))
-        jump = checkpoint(jump.join(far, F.col("hit") == F.col("_at")).select("id", F.col("_far").alias("hit")))
+        new = checkpoint(jump.join(far, F.col("hit") == F.col("_at")).select("id", F.col("_far").alias("hit")))
+        release(jump)
+        jump = new
     on_cycle = jump.select(F.col("hit").alias("_on")).distinct()
     return jump, nodes.join(on_cycle, F.col("id") == F.col("_on"), "left_semi")
 
@@ -99,7 +101,6 @@ def rank_list(tour: DataFrame) -> DataFrame:
     """(element, rank, total, end): elements from here to the end, the sum of their steps, and the last one."""
     state = tour.select("element", "next", F.lit(1).cast("long").alias("rank"), F.col("step").cast("long").alias("total"), F.col("element").alias("end"))
     state = checkpoint(state)
-    done: list[DataFrame] = []
     for _ in range(MOST_ROUNDS):
         open_ = state.where("next is not null")
         if open_.isEmpty():
@@ -110,7 +111,9 @@ def rank_list(tour: DataFrame) -> DataFrame:
         moved = open_.join(ahead, F.col("next") == F.col("_at")).select(
             "element", F.col("_next").alias("next"), (F.col("rank") + F.col("_rank")).alias("rank"), (F.col("total") + F.col("_total")).alias("total"), F.col("_end").alias("end")
         )
-        state = checkpoint(moved.unionByName(state.where("next is null")))
+        new = checkpoint(moved.unionByName(state.where("next is null")))
+        release(state)
+        state = new
     return state.drop("next")
 
 
@@ -168,7 +171,9 @@ def paths(tree: DataFrame) -> DataFrame:
             break
         upper = state.select(F.col("id").alias("_at"), F.col("top").alias("_top"), F.col("path").alias("_path"))
         moved = open_.join(upper, F.col("top") == F.col("_at")).select("id", F.col("_top").alias("top"), F.concat("_path", "path").alias("path"))
-        state = checkpoint(moved.unionByName(state.where("top is null")))
+        new = checkpoint(moved.unionByName(state.where("top is null")))
+        release(state)
+        state = new
     return state.select("id", "path")
 
 
@@ -186,17 +191,18 @@ def climb(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     topological sorting releases, because they are on a cycle or hang on one. A round releases twice as many levels as
     the one before; a round that releases nothing is the last, since levels have no gaps.
     """
-    state = edges.select("id", F.col("parent").alias("root"), F.lit(1).cast("long").alias("level"), F.lit(True).alias("open"))
+    state = edges.select("id", F.col("parent").alias("root"), F.lit(1).cast("int").alias("level"), F.lit(True).alias("open"))
     state = checkpoint(state)
-    before = None
-    for _ in range(MOST_ROUNDS):
-        left = state.where("open").count()
-        if left == 0 or left == before:
-            break
-        before = left
+    left = state.count()
+    while left:
         ahead = state.select(F.col("id").alias("_at"), F.col("root").alias("_root"), F.col("level").alias("_level"), F.col("open").alias("_open"))
         moved = state.where("open").join(ahead, F.col("root") == F.col("_at"), "left").select(
             "id", F.coalesce("_root", "root").alias("root"), (F.col("level") + F.coalesce("_level", F.lit(0))).alias("level"), F.coalesce("_open", F.lit(False)).alias("open")
         )
-        state = checkpoint(moved.unionByName(state.where("not open")))
+        new = checkpoint(moved.unionByName(state.where("not open")))
+        release(state)
+        state, before = new, left
+        left = state.where("open").count()
+        if left == before:
+            break
     return state.where("not open").drop("open"), state.where("open").select("id")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import pathlib
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,21 +35,56 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory; only the columns that are used are read."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder shared by all executors: the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only where that is unset, as in tests on one machine, a temporary one is made.
+    """
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not hasattr(spark.sparkContext, "_tracewell_folder"):
+        folder = tempfile.mkdtemp(prefix="tracewell-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext._tracewell_folder = f"file://{folder}"
+    return spark.sparkContext._tracewell_folder
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder shared by all executors.
+    """Cut the lineage: ``df`` written as a table in the shared folder, and read from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in tests on
-    one machine, a temporary one is made.
+    The table survives the loss of executors, is compressed, and tells the planner its size.
     """
-    spark = df.sparkSession
+    path = f"{shared_folder(df.sparkSession)}/tracewell-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tracewell_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove the table behind :func:`checkpoint` once nothing that is still to run reads it."""
+    path = getattr(df, "_tracewell_path", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors, also where it isn't installed there."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracewell-checkpoint-"))
-    return df.checkpoint(eager=True)
+    if not getattr(sc, "_tracewell_shipped", False):
+        root = pathlib.Path(__file__).resolve().parent
+        if root.suffix != ".zip" and root.is_dir():
+            folder = tempfile.mkdtemp(prefix="tracewell-code-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            sc.addPyFile(shutil.make_archive(f"{folder}/tracewell", "zip", root.parent, root.name))
+        sc._tracewell_shipped = True
 
 
 def bounded_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

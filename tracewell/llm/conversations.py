@@ -27,33 +27,31 @@ def conversation_rows(messages: DataFrame, chats: DataFrame) -> DataFrame:
     A conversation is all messages of a chat connected by ``reply_to``, taken from the kept rows. It is dropped if a
     reply names a message that does not exist (or no number at all), if it has no single opening message, if a date
     denotes no instant, if no row has text other than white space, or if fewer than two authors speak (null and
-    ``Deleted Account`` do not count; spellings count as they are). Rows with a null chat are left out. turn counts
+    ``Deleted Account`` do not count; spellings count as they are). Rows with a null chat are left out; row_id must be unique. turn counts
     from 1 by instant, then number; level is the topological level, 0 for the opening.
     """
     has_reply = F.coalesce(strip(F.col("reply_to")) != "", F.lit(False)).alias("has_reply")
     has_text = F.coalesce(strip(F.col("text")) != "", F.lit(False)).alias("has_text")
-    carry = (message_number(F.col("reply_to")).alias("reply_no"), has_reply, has_text, F.col("date"), F.col("author"))
-    kept = kept_rows(messages, *carry).where("chat_slug is not null").drop("received_at")
-    node = lambda n: F.concat(F.col("chat_slug"), F.lit(":"), F.col(n).cast("string"))
-    kept = checkpoint(kept.withColumn("id", node("msg_no")).withColumn("parent", node("reply_no")))
-    known = kept.select(F.col("id").alias("_known"))
-    edges = kept.where("parent is not null").select("id", "parent").join(known, F.col("parent") == F.col("_known"), "left_semi")
-    ended, _ = climb(edges)
-    openings = ended.select("root").distinct().select(F.col("root").alias("id"), "root", F.lit(0).cast("long").alias("level"))
-    placed = ended.select("id", "root", "level").unionByName(openings)
-    rows = kept.join(placed.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id", "reply_no", "parent")
-    rows = checkpoint(message_instants(rows, chats))
+    kept = kept_rows(messages, message_number(F.col("reply_to")).alias("reply_no"), has_reply, has_text)
+    kept = checkpoint(kept.where("chat_slug is not null").drop("received_at"))
+    parents = kept.select("chat_slug", F.col("msg_no").alias("reply_no"), F.col("row_id").alias("parent"))
+    replies = kept.where("reply_no is not null").select("chat_slug", "reply_no", F.col("row_id").alias("id"))
+    ended, _ = climb(replies.join(parents, ["chat_slug", "reply_no"]).select("id", "parent"))
+    openings = ended.select("root").distinct().select(F.col("root").alias("row_id"), "root", F.lit(0).alias("level"))
+    placed = ended.select(F.col("id").alias("row_id"), "root", "level").unionByName(openings)
+    texts = messages.select("row_id", "date", "author")
+    rows = placed.join(kept.drop("reply_no"), "row_id").join(texts, "row_id")
+    rows = checkpoint(message_instants(rows, chats).drop("date"))
     speaker = F.when(F.col("author") != NOBODY, F.col("author"))
     judged = rows.groupBy("root").agg(
         F.max((F.col("level") == 0) & F.col("has_reply")).alias("broken"),
         F.max(F.col("utc_us").isNull()).alias("undated"),
         F.max("has_text").alias("speaks"),
         F.coalesce(F.min(speaker) != F.max(speaker), F.lit(False)).alias("answered"),
+        F.max(F.when(F.col("level") == 0, F.col("msg_no"))).alias("root_no"),
     )
-    whole = judged.where("not broken and not undated and speaks and answered").select(F.col("root").alias("_root"))
-    rows = rows.join(whole, F.col("root") == F.col("_root"), "left_semi")
-    rows = rows.withColumn("root_no", F.substring_index("root", ":", -1).cast("long"))
-    rows = rows.select("chat_slug", "root_no", "msg_no", "row_id", "author", "level", "utc_us")
+    whole = judged.where("not broken and not undated and speaks and answered").select("root", "root_no")
+    rows = rows.join(whole, "root").select("chat_slug", "root_no", "msg_no", "row_id", "author", "level", "utc_us")
     return positions(rows, ["chat_slug", "root_no"], ["utc_us", "msg_no"], "turn")
 
 

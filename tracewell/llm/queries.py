@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import conversations, leakage, packing, reading, tokens
+from tracewell.llm import conversations, leakage, linkage, packing, reading, tokens
 from tracewell.session import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of people that are one, and authors with the rows they stand for."""
+    return linkage.links(table(spark, d, "people"), table(spark, d, "messages"))
+
+
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    """Each row of people with its person or organisation."""
+    return linkage.entities(table(spark, d, "people"))[0]
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Every message of every whole conversation with its turn."""
     rows = conversations.conversation_rows(table(spark, d, "messages"), table(spark, d, "chats"))
@@ -66,5 +76,5 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d).join(docs, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("texts"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_turns, p6_alternation, p8_packing, p8_fill, p9_found, p9_report, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_members, p6_found, p6_turns, p6_alternation, p8_packing, p8_fill, p9_found, p9_report, p10_found, p10_profile)}
 ORACLE: dict[str, str] = {}

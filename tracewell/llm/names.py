@@ -63,7 +63,8 @@ TO_CYRILLIC = str.maketrans("aeopcxykmtbh", "аеорсхукмтвн")
 CYRILLIC = re.compile("[а-яё]")
 LETTER = re.compile(r"[a-z]")
 DECORATION = re.compile(r"[\[(][^\])]*[\])]|\s[|–—-]\s.*$|\s\|.*$|[:;]-?[D()P]+")
-CAMEL = re.compile(r"(?<=[a-zа-яё])(?=[A-ZА-ЯЁ])")
+CAMEL = re.compile(r"(?<=[a-zа-яё])(?=[A-ZА-ЯЁ][a-zа-яё]{2})")
+ACCOUNT = re.compile(r"^(?:@|tg:)|\S@\S|^[a-z0-9._+-]+$")
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -76,7 +77,7 @@ def skeleton(word: str) -> str:
             w = w.translate(TO_LATIN) if len(CYRILLIC.findall(w)) <= len(LETTER.findall(w)) else w.translate(TO_CYRILLIC)
         w = w.translate(LATIN)
     w = "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
-    w = w.replace("tch", "ch").replace("sch", "sh").replace("ou", "u").replace("w", "v").replace("c", "k").replace("ph", "f")
+    w = w.replace("tch", "ch").replace("sch", "sh").replace("ou", "u").replace("w", "v").replace("c", "k")
     return re.sub(r"(.)\1+", r"\1", w)
 
 
@@ -85,7 +86,6 @@ def _table(names: dict[str, str]) -> dict[str, str]:
 
 
 GIVEN_OF, BUSINESS_OF = _table(GIVEN), _table(BUSINESS)
-LEGAL_OF = frozenset(map(skeleton, LEGAL))
 #: First letters under which a given name may be shortened.
 INITIALS = {k: {skeleton(v)[0] for v in [k, *vs.split()] if len(v) > 3} | {k[0], skeleton(k)[0]} for k, vs in GIVEN.items()}
 
@@ -132,7 +132,7 @@ def given_name(word: str) -> str | None:
     """The given name a skeleton stands for, also with one wrong letter in a longer one."""
     if word in GIVEN_OF:
         return GIVEN_OF[word]
-    if len(word) >= 5:
+    if len(word) >= 4:
         near = {k for v, k in GIVEN_OF.items() if len(v) >= 5 and abs(len(v) - len(word)) <= 1 and osa(v, word) == 1}
         if len(near) == 1:
             return near.pop()
@@ -154,11 +154,12 @@ def parse(text: str | None) -> tuple[str, str, str]:
     if not text:
         return "none", "", ""
     t = unicodedata.normalize("NFKC", text)
+    if ACCOUNT.search(t.strip()):
+        return "none", "", ""
     t = CAMEL.sub(" ", DECORATION.sub(" ", t + " ").replace("_", " "))
-    words = [skeleton(w) for w in WORD.findall(t)]
-    words = [w for w in words if w]
-    legal = any(w in LEGAL_OF for w in words)
-    words = [w for w in words if w not in LEGAL_OF] or words
+    raw = WORD.findall(t)
+    legal = any(w.lower() in LEGAL for w in raw)
+    words = [w for w in (skeleton(w) for w in raw if w.lower() not in LEGAL) if w]
     for i, w in enumerate(words):
         if w in BUSINESS_OF and len(words) > 1 and (len(w) > 3 or len(words) == 2):
             return "org", BUSINESS_OF[w], "".join(words[:i] + words[i + 1 :])
@@ -184,12 +185,24 @@ def parse(text: str | None) -> tuple[str, str, str]:
     return "person", words[0], "".join(words[1:])
 
 
+def account_number(acct: str) -> str:
+    """The number an account ends in before its domain; ``+`` after it marks the ways to tell namesakes apart."""
+    m = re.search(r"(\d+)(x|-b)?$", acct.split("@")[0])
+    return (m[1] + ("+" if m[2] else "")) if m else ""
+
+
+def number_fits(number: str, known: list[str]) -> bool:
+    """Whether an account with this number may belong to the holder of accounts with ``known`` numbers."""
+    forms = {number, number[:-1] + "2"} if number.endswith("+") else {number, number[:-1] + "+"} if number.endswith("2") else {number}
+    return not known or bool(forms & set(known))
+
+
 def account_names(acct: str) -> list[tuple[str, str]]:
-    """(first letter, last) pairs that an account may be made of."""
+    """(given name or first letter, last) pairs that an account may be made of."""
     local = re.sub(r"(?:\d+x?|\d*-b)$", "", acct.split("@")[0])
     parts = [skeleton(p) for p in re.split(r"[._\-+]+", local) if WORD.fullmatch(p)]
     if len(parts) == 2:
-        return [(parts[0][0], parts[1]), (parts[1][0], parts[0])]
+        return [(GIVEN_OF.get(a, a[0]), b) for a, b in (parts, parts[::-1])]
     if len(parts) == 1 and len(parts[0]) > 4:
         p = parts[0]
         return [(p[0], p[1:]), (p[-1], p[:-1])]

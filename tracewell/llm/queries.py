@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import conversations, leakage, linkage, packing, reading, tokens
+from tracewell.llm import conversations, leakage, linkage, packing, pii, reading, tokens
 from tracewell.session import table
 
 
@@ -19,6 +19,23 @@ def p3_members(spark: SparkSession, d: str) -> DataFrame:
     return linkage.entities(table(spark, d, "people"))[0]
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    messages = table(spark, d, "messages").select(F.lit("messages").alias("tbl"), F.col("row_id").cast("string").alias("rec_id"), "text")
+    quotes = table(spark, d, "requirements").select(F.lit("requirements").alias("tbl"), F.col("id").alias("rec_id"), F.col("quote").alias("text"))
+    return messages.unionByName(quotes.distinct())
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every place of personal information in messages and quotes."""
+    return pii.places(_texts(spark, d))
+
+
+def p5_sanitised(spark: SparkSession, d: str) -> DataFrame:
+    """Messages and quotes with placeholders."""
+    texts = _texts(spark, d)
+    return pii.replace(texts, pii.places(texts))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Every message of every whole conversation with its turn."""
     rows = conversations.conversation_rows(table(spark, d, "messages"), table(spark, d, "chats"))
@@ -76,5 +93,5 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d).join(docs, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("texts"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_members, p6_found, p6_turns, p6_alternation, p8_packing, p8_fill, p9_found, p9_report, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_members, p5_found, p5_sanitised, p6_found, p6_turns, p6_alternation, p8_packing, p8_fill, p9_found, p9_report, p10_found, p10_profile)}
 ORACLE: dict[str, str] = {}

@@ -64,7 +64,8 @@ def stems(c: Column) -> Column:
 
 def overlap(a: Column, b: Column) -> Column:
     """Shared elements of two sets over the size of the smaller one; 0 if one is empty."""
-    least = F.least(F.size(a), F.size(b))
+    zero = F.lit(0)
+    least = F.least(F.coalesce(F.size(a), zero), F.coalesce(F.size(b), zero))
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))
 
 

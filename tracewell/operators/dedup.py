@@ -81,10 +81,10 @@ def deduplicate(messages: DataFrame) -> DataFrame:
     The join runs on the unique ``row_id``, never on the message, so no hot message reaches one task. A row_id that is
     itself repeated is kept once for each repetition of the kept row.
     """
-    kept = kept_rows(messages).select(F.col("row_id").alias("_kept"))
+    kept = kept_rows(messages).select(F.col("row_id").alias("__tw_kept"))
     number = message_number(F.col("msg_id"))
-    joined = messages.join(kept, F.col("row_id") == F.col("_kept"), "left")
-    return joined.where(number.isNull() | F.col("_kept").isNotNull()).drop("_kept")
+    joined = messages.join(kept, F.col("row_id") == F.col("__tw_kept"), "left")
+    return joined.where(number.isNull() | F.col("__tw_kept").isNotNull()).drop("__tw_kept")
 
 
 def redundant_rows(messages: DataFrame) -> DataFrame:

@@ -59,10 +59,10 @@ def new_messages(incoming: DataFrame, known: DataFrame, order: str) -> DataFrame
     in the way of a later one. Which row stays is settled by a combining minimum, never in one task per key.
     """
     keyed = with_keys(incoming)
-    one = known.select(F.col("key").alias("_k"))
-    fresh = keyed.join(one, F.col("key") == F.col("_k"), "left_anti").join(one, F.col("ckey") == F.col("_k"), "left_anti")
-    first = fresh.groupBy("key").agg(F.min(order).alias("_first")).select("_first")
-    return fresh.join(first, F.col(order) == F.col("_first"), "left_semi")
+    one = known.select(F.col("key").alias("__tw_k"))
+    fresh = keyed.join(one, F.col("key") == F.col("__tw_k"), "left_anti").join(one, F.col("ckey") == F.col("__tw_k"), "left_anti")
+    first = fresh.groupBy("key").agg(F.min(order).alias("__tw_first")).select("__tw_first")
+    return fresh.join(first, F.col(order) == F.col("__tw_first"), "left_semi")
 
 
 def rank_of(attribution: Column) -> Column:

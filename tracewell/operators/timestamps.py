@@ -166,7 +166,7 @@ def to_instants(texts: pa.Array, tz: pa.Array) -> pa.Array:
     coded = pc.dictionary_encode(shapes)
     codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
     out, valid = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=bool)
-    zone_of_row = np.array(tz.fill_null("").to_pylist(), dtype=str)
+    zone_of_row = np.array(tz.cast(pa.string()).fill_null("").to_pylist(), dtype=str)
     values = np.array(texts.to_pylist(), dtype=object)
     order = np.argsort(codes, kind="stable")
     starts = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
@@ -200,6 +200,6 @@ def message_instants(messages: DataFrame, chats: DataFrame) -> DataFrame:
 
     Chats are repeated at most by mistake: the smallest zone name of a slug counts.
     """
-    zone = chats.groupBy(F.col("chat_slug").alias("_chat")).agg(F.min("tz_name").alias("_tz"))
-    joined = messages.join(bounded_broadcast(zone), F.col("chat_slug") == F.col("_chat"), "left")
-    return joined.withColumn("utc_us", instant_us(F.col("date"), F.col("_tz"))).drop("_chat", "_tz")
+    zone = chats.groupBy(F.col("chat_slug").alias("__tw_chat")).agg(F.min("tz_name").alias("__tw_tz"))
+    joined = messages.join(bounded_broadcast(zone), F.col("chat_slug") == F.col("__tw_chat"), "left")
+    return joined.withColumn("utc_us", instant_us(F.col("date"), F.col("__tw_tz"))).drop("__tw_chat", "__tw_tz")

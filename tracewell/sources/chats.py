@@ -6,11 +6,12 @@ import json
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import rich_text, truthy
 from tracewell.operators.ingest import forward_authorship
+from tracewell.operators.ranking import running
 
 #: Field names of the formats.
 EXPORT = "name string, id string, messages array<struct<id:string,type:string,date:string,`from`:string,actor:string,forwarded_from:string,text:string,file:string,photo:string,media_type:string,reply_to_message_id:string>>"
@@ -98,12 +99,11 @@ def parse_capture(rows: DataFrame) -> DataFrame:
 def paste_segments(lines: DataFrame) -> DataFrame:
     """(source, pos, date, rest, text): pasted messages from lines (source, line_no, value).
 
-    A line with a stamp begins a message, other lines go on with it; lines before the first stamp are dropped. A source
-    is one pasted text, so its lines are put together in order within it.
+    A line with a stamp begins a message, other lines go on with it; lines before the first stamp are dropped. Which
+    message a line belongs to is the running number of stamps, found without gathering a source in one task.
     """
-    stamped = lines.withColumn("_head", F.regexp_like("value", F.lit(STAMP)).cast("int"))
-    inside = Window.partitionBy("source").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    parts = stamped.withColumn("pos", F.sum("_head").over(inside)).where("pos > 0")
+    stamped = lines.select("source", "line_no", "value", F.regexp_like("value", F.lit(STAMP)).cast("int").alias("_head"))
+    parts = running(stamped, ["source"], ["line_no"], F.col("_head"), "pos").where("pos > 0")
     part = lambda i: F.regexp_extract("value", STAMP, i)
     stamp = F.concat(part(3), F.lit("-"), part(2), F.lit("-"), part(1), F.lit("T"), part(4), F.when(part(5) != "", part(5)).otherwise(F.lit(":00")))
     rows = parts.select("source", "pos", "line_no", F.when(F.col("_head") == 1, stamp).alias("date"), F.when(F.col("_head") == 1, part(6)).alias("rest"), F.when(F.col("_head") == 0, F.col("value")).alias("more"))

@@ -124,7 +124,7 @@ def batch_lines(lines: DataFrame) -> DataFrame:
     clean = F.trim(F.regexp_replace(F.trim("value"), r"^[-* ]+", ""))
     rows = lines.select("line_no", clean.alias("_v")).where("_v <> '' and not _v like '#%'")
     parts = F.split("_v", "::", 2)
-    refs = F.filter(F.transform(F.split(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), ","), F.trim), lambda x: x != "")
+    refs = F.filter(F.transform(F.split(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return rows.select("line_no", F.nullif(F.trim(parts[0]), F.lit("")).alias("text"), refs.alias("refs"))
 
 

@@ -249,12 +249,12 @@ def places(texts: DataFrame) -> DataFrame:
 
 def replace(texts: DataFrame, found: DataFrame) -> DataFrame:
     """(tbl, rec_id, text): texts with each place replaced by a placeholder of its kind, the rest unchanged."""
-    spans = found.groupBy("tbl", "rec_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "kind"))).alias("_spans"))
-    spans = spans.withColumnsRenamed({"tbl": "_t", "rec_id": "_r"})
-    joined = texts.join(spans, (F.col("tbl") == F.col("_t")) & (F.col("rec_id") == F.col("_r")), "left")
+    spans = found.groupBy("tbl", "rec_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "kind"))).alias("__tw_spans"))
+    spans = spans.withColumnsRenamed({"tbl": "__tw_t", "rec_id": "__tw_r"})
+    joined = texts.join(spans, (F.col("tbl") == F.col("__tw_t")) & (F.col("rec_id") == F.col("__tw_r")), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
     kept = lambda acc, x: F.substring(F.col("text"), (acc.at + 1).cast("int"), (x.start_pos - acc.at).cast("int"))
     step = lambda acc, x: F.struct(F.concat(acc.out, kept(acc, x), F.lit("["), F.upper(x.kind), F.lit("]")).alias("out"), x.end_pos.alias("at"))
     rest = lambda acc: F.concat(acc.out, F.substring(F.col("text"), (acc.at + 1).cast("int"), F.lit(1 << 30)))
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", start, step, rest))
+    clean = F.when(F.col("__tw_spans").isNull(), F.col("text")).otherwise(F.aggregate("__tw_spans", start, step, rest))
     return joined.select("tbl", "rec_id", clean.alias("text"))

@@ -5,7 +5,8 @@ estimated from the whole corpus: for each term, how often it stands beside a giv
 places), and how much it tells about which one. A surname stands beside few given names and so reveals a person; a verb
 or a noun stands beside all of them and reveals nobody. The disclosure of a term is the divergence of its partners'
 distribution from that of all partners, in bits; terms above the thresholds are removed together with the given name,
-nickname or initial beside them.
+nickname or initial beside them. A surname of very many people tells little about which, but unlike a verb it has hardly
+any place but beside given names, and follows them; such terms are removed too.
 
 One scan finds everything but the decision on names: it writes places, candidates and counts to the shared folder. The
 decision is a join of candidates with one row per term, so nothing is broadcast that grows with the corpus.
@@ -27,6 +28,10 @@ from tracewell.session import checkpoint
 
 #: Least share of a term's places beside a given name or initial, and least disclosure in bits.
 LEAST_SHARE, LEAST_BITS = 0.45, 2.75
+#: A term that tells less must stand beside names in this share of its places, and behind them in this share.
+COMMON_SHARE, COMMON_BEHIND = 0.9, 0.4
+#: Marks the count of places behind a given name or initial among the partners.
+BEHIND = ">"
 #: Counts are passed on whenever a task holds so many different terms.
 TERMS_AT_ONCE = 200_000
 #: Stands between two texts of a batch; no pattern matches it.
@@ -169,6 +174,8 @@ class Scan:
                 word = lower[ids[i + q]]
                 if dot is not None:  # "word, Given" is more often a call than a name and counts for nothing
                     self.beside[word, partner[ids[i + p]]] += 1
+                    if q:
+                        self.beside[word, BEHIND] += 1
                 candidates.append((int(starts[i]), int(ends[i + 1]) + (1 if dot else 0), word))
         at = np.searchsorted(begins, [a for a, _, _ in candidates], side="right") - 1
         return places, [(t, a - int(begins[t]), b - int(begins[t]), w) for t, (a, b, w) in zip(at.tolist(), candidates)]
@@ -213,9 +220,10 @@ def scan(texts: DataFrame) -> DataFrame:
 
 
 def disclosures(found: DataFrame) -> DataFrame:
-    """(term, share, bits): of terms beside given names or initials, how often that is and what it tells."""
+    """(term, share, behind, bits): of terms beside given names or initials, how often that is and what it tells."""
     counts = found.where("kind = '#'").groupBy("term", F.col("rec_id").alias("partner")).agg(F.sum("n").alias("n"))
-    beside = counts.where("partner is not null")
+    behind = counts.where(F.col("partner") == BEHIND).select("term", F.col("n").alias("behind"))
+    beside = counts.where(F.col("partner") != BEHIND)
     totals = counts.where("partner is null").select("term", F.col("n").alias("total"))
     prior = beside.groupBy(F.upper("partner").alias("_p")).agg(F.sum("n").alias("_n"))
     whole = Window.partitionBy(F.lit(1))  # a row per given name or letter
@@ -223,7 +231,8 @@ def disclosures(found: DataFrame) -> DataFrame:
     own = beside.groupBy("term").agg(F.sum("n").alias("beside"))
     share = beside.join(own, "term").join(prior, F.upper("partner") == F.col("_p")).withColumn("_q", F.col("n") / F.col("beside"))
     bits = share.groupBy("term").agg(F.max("beside").alias("beside"), F.sum(F.col("_q") * F.log2(F.col("_q") / F.col("_prior"))).alias("bits"))
-    return bits.join(totals, "term").select("term", (F.col("beside") / F.col("total")).alias("share"), "bits", "beside", "total")
+    rows = bits.join(totals, "term").join(behind, "term", "left")
+    return rows.select("term", (F.col("beside") / F.col("total")).alias("share"), (F.coalesce("behind", F.lit(0)) / F.col("total")).alias("behind"), "bits")
 
 
 def places(texts: DataFrame) -> DataFrame:
@@ -234,7 +243,9 @@ def places(texts: DataFrame) -> DataFrame:
     have no places.
     """
     found = checkpoint(scan(texts))
-    telling = disclosures(found).where((F.col("share") >= LEAST_SHARE) & (F.col("bits") >= LEAST_BITS)).select("term", "bits")
+    rare = (F.col("share") >= LEAST_SHARE) & (F.col("bits") >= LEAST_BITS)
+    common = (F.col("share") >= COMMON_SHARE) & (F.col("behind") >= COMMON_BEHIND)
+    telling = disclosures(found).where(rare | common).select("term", "bits")
     names = found.where("kind = '?'").select("tbl", "rec_id", "start_pos", "end_pos", "term").distinct().join(telling, "term")
     record = names.groupBy("tbl", "rec_id").agg(F.collect_list(F.struct((-F.col("bits")).alias("b"), "start_pos", "end_pos")).alias("_all"))
     chosen = F.aggregate(

@@ -656,10 +656,10 @@ def paste_messages(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def export_messages(spark: SparkSession, d: str) -> DataFrame:
-    """Messages read back from messenger exports, one for each chat and day."""
+    """Messages read back from messenger exports, one for each chat, day and thousand rows."""
     rows = ingest.dated(table(spark, d, "messages")).where("msg_id is not null")
     fields = F.struct(F.col("msg_id").alias("id"), F.lit("message").alias("type"), "date", F.col("author").alias("from"), F.to_json(F.array(F.coalesce("text", F.lit("")))).alias("text"), F.col("media").alias("file"), F.col("reply_to").alias("reply_to_message_id"))
-    export = rows.groupBy("chat_slug", ingest.day_of(F.col("date")).alias("day"), F.pmod("row_id", F.lit(16)).alias("part")).agg(F.to_json(F.struct(F.first("chat_slug").alias("id"), F.collect_list(fields).alias("messages"))).alias("value"))
+    export = rows.groupBy("chat_slug", ingest.day_of(F.col("date")).alias("day"), F.floor(F.col("row_id") / 1_000).alias("part")).agg(F.to_json(F.struct(F.first("chat_slug").alias("id"), F.collect_list(fields).alias("messages"))).alias("value"))
     return chats.parse_export(export.select("value"))
 
 

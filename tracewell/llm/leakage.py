@@ -194,6 +194,18 @@ class Index:
         return found
 
 
+class Block:
+    """A block of items; each process that receives it makes its index once."""
+
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        self.items, self._index = items, None
+
+    def index(self) -> Index:
+        if self._index is None:
+            self._index = Index(self.items)
+        return self._index
+
+
 OFFSETS = [np.array([i for i, x in enumerate(m) if x == "1"]) for m in MASKS]
 WIDEST = max(map(len, MASKS))
 
@@ -224,10 +236,10 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     found = None
     for b in range(blocks):
         rows = listed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else listed
-        held = spark.sparkContext.broadcast([(r.item_id, r.prompt) for r in rows.collect()])
+        held = spark.sparkContext.broadcast(Block([(r.item_id, r.prompt) for r in rows.collect()]))
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(held.value)
+            index = held.value.index()
             for batch in batches:
                 docs, texts, out = batch.column(0).to_pylist(), batch.column(1), ([], [])
                 for low in range(0, len(docs), TEXTS_AT_ONCE):

@@ -217,14 +217,17 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
     averaged; grades outside 1 to 5, and of documents that do not exist or have no text, are not used.
     """
     good = labels.where(F.col("reading_level").between(1, LEVELS) & F.col("doc_id").isNotNull())
-    sample = good.groupBy("doc_id").agg(F.collect_list(F.col("reading_level").cast("int")).alias("grades"))
+    given = F.array(*(F.count_if(F.col("reading_level") == k + 1) for k in range(LEVELS))).alias("grades")
+    sample = good.groupBy("doc_id").agg(given)
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_GRADES).withColumnRenamed("doc_id", "_doc")
     graded = documents.select("doc_id", "text").join(bounded_broadcast(sample, MOST_GRADES), F.col("doc_id") == F.col("_doc"))
+    graded = graded.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grades").alias("grades"))
     rows = graded.where("text is not null").select("doc_id", "text", "grades", F.pmod(F.xxhash64("text"), F.lit(2)).alias("fold")).collect()
     rows = sorted((r for r in rows if r.text.strip()), key=lambda r: (r.doc_id, r.text))
     if not rows:
         return None
-    targets = np.array([[r.grades.count(k + 1) / len(r.grades) for k in range(LEVELS)] for r in rows])
+    targets = np.array([r.grades for r in rows], dtype=float)
+    targets /= targets.sum(axis=1, keepdims=True)
     return Model([r.text for r in rows], targets, np.array([r.fold for r in rows]))
 
 

@@ -30,7 +30,7 @@ BLOCK_ITEMS = 20_000
 #: A word is telling if it has a digit or occurs in at most this share of the items (at least in TELLING_LEAST).
 TELLING_SHARE, TELLING_LEAST = 0.04, 2
 #: Least share of an item's words that must be found, and least words.
-LEAST_SHARE, LEAST_WORDS = 0.22, 8
+LEAST_SHARE, LEAST_WORDS = 0.3, 8
 #: A stretch ends where the next word that agrees is further away.
 STRETCH_GAP = 4
 #: Texts that are searched together.
@@ -142,7 +142,7 @@ class Index:
             if len(stretch) < 3:
                 continue
             whole, agree = wanted[stretch[0] : stretch[-1] + 1], wanted[stretch]
-            if _mostly(self.telling, agree, whole, 1, 2) and (not self.named[item] or _mostly(self.rare, agree, whole, 2, 3)):
+            if _mostly(self.telling, agree, whole, 3, 5) and (not self.named[item] or _mostly(self.rare, agree, whole, 2, 3)):
                 matched[stretch] = True
 
     def covered(self, item: int, ids: np.ndarray, shifts: set[int]) -> int:

@@ -242,3 +242,32 @@ def test_stream_takes_each_message_once(spark, tmp_path):
     intake.batch(data, 7)
     intake.batch(data, 7)
     assert intake.table("messages", data.drop("key").schema).count() == 5
+
+
+def test_render_and_publish(spark, tmp_path):
+    from tracewell.operators import render
+    from tracewell.session import WRITTEN, checkpoint, clean
+
+    items = spark.createDataFrame([item(), item(id="i2", contour="public", date=None, participants=["A"], redactions=["r|1"]), item(id="i3", contour=None, status="missing", fidelity=None)], ITEM)
+    reqs = spark.createDataFrame([("t2", "a quote", "A", ["i1"], "soon", None, "2024-01-01", ["r"]), ("t1", "other", None, None, "", None, None, None)], "id string, quote string, wanted_by string, based_on array<string>, blocking string, blocking_since string, date string, redactions array<string>")
+    reqs = reqs.withColumn("stage", F.lit(None).cast("string")).withColumn("supersedes", F.lit(None).cast("string")).withColumn("note", F.lit("n"))
+    lines = [(r.section, r.line) for r in render.index_lines(items, reqs, people(spark, [])).orderBy("section", "rank").collect()]
+    assert lines[:5] == [(1, "items: 3"), (1, "requirements: 2"), (1, "people: 0"), (2, "| verbatim | 2 |"), (2, "| placeholder | 1 |")] and lines[-1] == (4, "| i3 | missing | raw/x/a.md |")
+    assert [r.line for r in render.redaction_lines(items).collect()] == ["| r\\|1 | 1 |"]
+    got = [json.loads(r.json) for r in render.contract_lines(reqs, archive.requirement_order(reqs, "2024-01-11"), masked=True).orderBy("rank").collect()]
+    assert [(r["id"], r["quote"], r["days_blocked"], r["supersedes"]) for r in got] == [("t2", archive.MASK, 10, None), ("t1", "other", None, None)]
+    note = spark.createDataFrame([("unknown", "Shown", "Via"), (None, "x", "y")], "a string, s string, v string").select(render.media_note(F.col("a"), F.col("s"), F.col("v")))
+    assert [r[0] for r in note.collect()] == ["authorship unknown; shown as Shown; passed on by Via", None]
+    reply = spark.createDataFrame([("Ann", False, "q\n# r", "b", "7", True), (None, False, None, "body", None, False), ("Ann", True, None, "body", None, True)], "n string, c boolean, q string, b string, no string, d boolean")
+    assert [r[0] for r in reply.select(render.reply_lines(*(F.col(c) for c in reply.columns))).collect()] == ["> in reply to Ann (not confirmed) #7\n> q\n> \\# r", "> in reply to —\n> body", "> in reply to Ann"]
+    store, slice_ = Store(spark, str(tmp_path / "a")), Store(spark, str(tmp_path / "b"))
+    store.create()
+    store.commit({"items": items}, store.version())
+    assert render.publish(store, slice_)[1] == 2 and [(r.id, r.participants) for r in slice_.read("items").collect()] == [("i2", [])]
+    render.guard(lint.v05(spark.createDataFrame([item()], ITEM)))
+    with pytest.raises(ValueError, match="V05"):
+        render.guard(lint.v05(spark.createDataFrame([item(fidelity="digest")], ITEM)))
+    kept = checkpoint(spark.range(3))
+    assert kept.count() == 3 and WRITTEN
+    clean(spark)
+    assert not WRITTEN

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Rows up to which a side may be broadcast by :func:`bounded_broadcast`.
 BROADCAST_ROWS = 20_000
+#: Tables that :func:`checkpoint` wrote and nothing has removed.
+WRITTEN: set[str] = set()
 
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -60,6 +62,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     The table survives the loss of executors, is compressed, and tells the planner its size.
     """
     path = f"{shared_folder(df.sparkSession)}/tracewell-{uuid.uuid4().hex}"
+    WRITTEN.add(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tracewell_path = path
@@ -70,13 +73,26 @@ def release(df: DataFrame) -> None:
     """Remove the table behind :func:`checkpoint` once nothing that is still to run reads it."""
     path = getattr(df, "_tracewell_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        _delete(df.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all tables of :func:`checkpoint` that are left; for the end of a job, when its results are written."""
+    for path in list(WRITTEN):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    WRITTEN.discard(path)
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, also where it isn't installed there."""
+    """Make this package importable on the executors, also where it isn't installed there.
+
+    The archive is made on the driver, which serves it to the executors.
+    """
     sc = spark.sparkContext
     if not getattr(sc, "_tracewell_shipped", False):
         root = pathlib.Path(__file__).resolve().parent

@@ -96,6 +96,24 @@ def days(messages: DataFrame) -> DataFrame:
     return joined.select("chat_slug", "day", "messages", level_of(F.col("_weak")).alias("attribution"), (F.col("_weak") != F.col("_strong")).alias("mixed"), F.coalesce("participants", F.lit("")).alias("participants"))
 
 
+def segments(days_new: DataFrame, days_old: DataFrame, imported: Column) -> DataFrame:
+    """(chat_slug, day, file): where new days (chat_slug, day) are written; a day that is there already is not merged.
+
+    Late messages of such a day get a file of their own, named after the day of the import.
+    """
+    old = days_old.select(F.col("chat_slug").alias("__tw_c"), F.col("day").alias("__tw_d")).distinct()
+    joined = days_new.distinct().join(old, F.col("chat_slug").eqNullSafe(F.col("__tw_c")) & (F.col("day") == F.col("__tw_d")), "left")
+    late = F.when(F.col("__tw_d").isNotNull(), F.concat(F.lit("_chat-"), imported)).otherwise(F.lit(""))
+    return joined.select("chat_slug", "day", F.concat("day", F.lit("_"), "chat_slug", late, F.lit(".md")).alias("file"))
+
+
+def media_links(messages: DataFrame, files: DataFrame) -> DataFrame:
+    """(row_id, media, path): the file each row's attachment is kept in (files: media, path); null where it did not come."""
+    rows = messages.where(truthy(F.col("media"))).select("row_id", "media")
+    kept = files.groupBy(F.col("media").alias("__tw_m")).agg(F.min("path").alias("path"))
+    return rows.join(kept, F.col("media") == F.col("__tw_m"), "left").select("row_id", "media", "path")
+
+
 def demotions(messages: DataFrame, most: int = 5) -> DataFrame:
     """(chat_slug, day, authors): of days with doubtful authorship, the first authors concerned, sorted."""
     rows = dated(messages).where((rank_of(F.col("attribution")) > 0) & F.col("author").isNotNull())

@@ -20,6 +20,28 @@ def message_files(spark: SparkSession, d: str) -> DataFrame:
     return days.select("chat_slug", "day", render.message_file(F.col("day"), F.col("chat_slug"), F.lit(None).cast("string")).alias("file"))
 
 
+def late_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Files for what the odd batches bring after the even ones."""
+    rows = ingest.dated(table(spark, d, "messages")).select("batch_id", "chat_slug", ingest.day_of(F.col("date")).alias("day"))
+    new, old = (rows.where(F.col("batch_id") % 2 == k).select("chat_slug", "day") for k in (1, 0))
+    return ingest.segments(new, old, F.lit(AS_OF))
+
+
+def media_links(spark: SparkSession, d: str) -> DataFrame:
+    """Attachments with the item file that is named like them."""
+    files = table(spark, d, "items").where("raw_path is not null and status = 'present'").select(F.regexp_extract("raw_path", "([^/]+)$", 1).alias("name"), F.col("raw_path").alias("path"))
+    rows = table(spark, d, "messages").select("row_id", F.regexp_extract("media", "([^/]+)$", 1).alias("media"))
+    return ingest.media_links(rows, files.withColumnRenamed("name", "media"))
+
+
+def leaked_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Projects that documents name by their first word."""
+    listed = table(spark, d, "chats").where("project is not null").select(F.split("project", " ")[0].alias("term")).distinct()
+    from tracewell.sources.files import leaked_terms as leaked
+
+    return leaked(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"), listed)
+
+
 def chat_slugs(spark: SparkSession, d: str) -> DataFrame:
     """Slug of each chat's title beside the one it has."""
     return table(spark, d, "chats").select("chat_slug", slugify(F.col("title")).alias("from_title"))
@@ -62,10 +84,16 @@ def short_quotes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (message_files, chat_slugs, media_notes, reply_heads, index_lines, redaction_lines, contract_lines, short_quotes)
+    f.__name__: f for f in (message_files, late_segments, media_links, leaked_terms, chat_slugs, media_notes, reply_heads, index_lines, redaction_lines, contract_lines, short_quotes)
 }
 _MASKED = "CASE WHEN coalesce(len(redactions), 0) > 0 THEN '[redacted]' ELSE quote END"
 ORACLE = {
+    "late_segments": f"""SELECT n.chat_slug, n.day, n.day || '_' || n.chat_slug || CASE WHEN o.day IS NOT NULL THEN '_chat-{AS_OF}' ELSE '' END || '.md' AS file
+FROM (SELECT DISTINCT chat_slug, day FROM ({_DATED}) WHERE batch_id % 2 = 1) n LEFT JOIN (SELECT DISTINCT chat_slug, day FROM ({_DATED}) WHERE batch_id % 2 = 0) o USING (chat_slug, day)""",
+    "media_links": """SELECT row_id, regexp_extract(media, '([^/]+)$', 1) AS media, (SELECT min(raw_path) FROM items i WHERE i.status = 'present' AND regexp_extract(i.raw_path, '([^/]+)$', 1) = regexp_extract(m.media, '([^/]+)$', 1)) AS path
+FROM messages m WHERE regexp_extract(media, '([^/]+)$', 1) <> ''""",
+    "leaked_terms": r"""SELECT DISTINCT d.doc_id AS doc, t.term FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_-]+')) AS w FROM documents) d
+JOIN (SELECT DISTINCT string_split(project, ' ')[1] AS term FROM chats WHERE project IS NOT NULL) t ON lower(t.term) = d.w""",
     "message_files": f"SELECT DISTINCT chat_slug, day, day || '_' || chat_slug || '.md' AS file FROM ({_DATED})",
     "media_notes": """SELECT row_id, 'authorship ' || attribution || CASE WHEN coalesce(shown_as, '') <> '' THEN '; shown as ' || shown_as ELSE '' END
 || CASE WHEN coalesce(via, '') <> '' THEN '; passed on by ' || via ELSE '' END AS note FROM messages WHERE coalesce(attribution, 'reliable') <> 'reliable'""",

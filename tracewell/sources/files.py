@@ -128,6 +128,17 @@ def batch_lines(lines: DataFrame) -> DataFrame:
     return rows.select("line_no", F.nullif(F.trim(parts[0]), F.lit("")).alias("text"), refs.alias("refs"))
 
 
+def terms(lines: DataFrame) -> DataFrame:
+    """Distinct terms of a list (value): one per line, blanks and what follows ``#`` left out."""
+    return lines.select(F.trim(F.regexp_replace("value", "#.*$", "")).alias("term")).where("term <> ''").distinct()
+
+
+def leaked_terms(documents: DataFrame, listed: DataFrame) -> DataFrame:
+    """(doc, term): terms of one word that documents (doc, text) contain, without regard to case."""
+    words = documents.select("doc", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_-]+"))).alias("word"))
+    return words.join(listed.select(F.lower("term").alias("word"), "term"), "word").select("doc", "term").distinct()
+
+
 LINK = r"\[[^\]]*\]\(([^)\s]+)\)"
 
 

@@ -150,6 +150,16 @@ def redact(table: DataFrame, redaction: str, ids: DataFrame) -> DataFrame:
     return joined.withColumn("redactions", F.when(F.col("_hit").isNotNull(), F.array_union(own, F.array(F.lit(redaction)))).otherwise(F.col("redactions"))).select(*table.columns)
 
 
+def rehash(items: DataFrame, files: DataFrame, on: str) -> DataFrame:
+    """``items`` whose file (path, sha256) has other contents now: the new fingerprint, and a note of the change."""
+    now = files.select(F.col("path").alias("_p"), F.col("sha256").alias("_h"))
+    joined = items.join(now, F.col("raw_path") == F.col("_p"), "left")
+    other = F.col("_h").isNotNull() & ~F.col("_h").eqNullSafe(F.col("sha256"))
+    note = F.concat_ws("; ", F.nullif(F.col("fidelity_note"), F.lit("")), F.concat(F.lit(f"{on}: fingerprint "), F.substring("_h", 1, 12)))
+    joined = joined.withColumn("fidelity_note", F.when(other, note).otherwise(F.col("fidelity_note"))).withColumn("sha256", F.when(other, F.col("_h")).otherwise(F.col("sha256")))
+    return joined.select(*items.columns)
+
+
 def fulfil_gaps(items: DataFrame, files: DataFrame) -> DataFrame:
     """``items`` whose missing files (path, sha256) have come: present, with their fingerprint; all else as it was."""
     come = files.select(F.col("path").alias("_p"), F.col("sha256").alias("_h"))

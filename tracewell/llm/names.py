@@ -129,13 +129,13 @@ def monge_elkan(a: list[str], b: list[str]) -> float:
 
 @lru_cache(maxsize=100_000)
 def given_name(word: str) -> str | None:
-    """The given name a skeleton stands for, also with one wrong letter in a longer one."""
+    """The given name a skeleton stands for, also with one wrong letter, or two in a long one."""
     if word in GIVEN_OF:
         return GIVEN_OF[word]
-    if len(word) >= 4:
-        near = {k for v, k in GIVEN_OF.items() if len(v) >= 5 and abs(len(v) - len(word)) <= 1 and osa(v, word) == 1}
-        if len(near) == 1:
-            return near.pop()
+    for edits, shortest in ((1, 5), (2, 7)):
+        near = {k for v, k in GIVEN_OF.items() if len(v) >= shortest and abs(len(v) - len(word)) <= edits and osa(v, word) <= edits}
+        if near and len(word) >= 4:
+            return near.pop() if len(near) == 1 else None
     return None
 
 

@@ -86,6 +86,19 @@ def test_linkage(spark):
     assert got == {"Роберт Зескуфоска": one | two, "@rzes": one, "tg:rzes5x": two, "N. Zeskufoska": {"p5"}, "Nikolai Zeskufoskka": {"p5"}, "GABODITSE TRADING": {"p6", "p7"}, "nikolai.zeskufoska": {"p5"}}
 
 
+def test_many_namesakes(spark):
+    """Twelve holders of one name: the rows of each are one, also of those that come last."""
+    data = [(f"{i:02}{c}", "Robert Zeskufoska", [], h) for i in range(11) for c, h in (("a", {"email": f"r{i}@x.test", "telegram": f"rzes{i}"}), ("b", {"telegram": f"@Rzes{i}"}), ("c", {"email": f"R{i}@x.test", "site": f"z{i}.example"}))]
+    data += [("11a", "Robert Zeskufoska", [], {"email": "r11@x.test"}), ("11b", "Zeskufoska, Robert", [], {"telegram": "rzes11"})]
+    members, centres, spelled, accounts = linkage.entities(people(spark, [((i, d), a, h) for i, d, a, h in data]))
+    assert len({r.id for r in members.collect()}) == members.count() == len(data)
+    pairs = {(r.left_key, r.right_key) for r in linkage.link_people(members).collect()}
+    assert pairs == {(f"{i:02}{x}", f"{i:02}{y}") for i in range(12) for x, y in ("ab", "ac", "bc") if i < 11 or y == "b"}
+    authors = spark.createDataFrame([("rzes11",), ("rzes3",)], "author string")
+    got = {(r.author, r.id) for r in linkage.link_authors(authors, members, centres, spelled, accounts).collect()}
+    assert got == {("rzes11", "11a"), ("rzes11", "11b")} | {("rzes3", f"03{c}") for c in "abc"}
+
+
 def test_linkage_of_nothing(spark):
     members = linkage.entities(people(spark, []))[0]
     assert members.count() == 0

@@ -318,6 +318,17 @@ def test_leaks(spark):
     assert leakage.leaks(df.limit(0), items).count() == 0 and leakage.leaks(df, items.limit(0)).count() == 0
 
 
+def test_quarter_of_an_item(spark):
+    """A quarter of an item's words is a leak, also with words changed inside; other names and figures are none."""
+    n, words = len(leakage.words(ITEMS[0][1])), ITEMS[0][1].split()
+    first = " ".join(words[2 : 2 + -(-n // 4)])
+    changed = " ".join(words[: -(-n // 4) + 1]).replace("mention", "thing")
+    other = " ".join(words[: -(-n // 4) + 1]).replace("Branellon", "Ulerkum").replace("61", "88")
+    less = " ".join(words[2 : n // 5])
+    df = spark.createDataFrame([(i, f"{FILL} {x}. {FILL}") for i, x in enumerate([first, changed, other, less])], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(df, spark.createDataFrame(ITEMS, "item_id long, prompt string")).collect()} == {(0, 1), (1, 1)}
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(variants())], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, prompt string")

@@ -30,7 +30,7 @@ BLOCK_ITEMS = 20_000
 #: A word is telling if it has a digit or occurs in at most this share of the items (at least in TELLING_LEAST).
 TELLING_SHARE, TELLING_LEAST = 0.04, 2
 #: Least share of an item's words that must be found, and least words.
-LEAST_SHARE, LEAST_WORDS = 0.3, 8
+LEAST_SHARE, LEAST_WORDS = 0.25, 8
 #: A stretch ends where the next word that agrees is further away.
 STRETCH_GAP = 4
 #: Texts that are searched together.
@@ -136,13 +136,18 @@ class Index:
         return out
 
     def _told(self, item: int, places: np.ndarray, matched: np.ndarray) -> None:
-        """Marks the stretches of ``places`` (words of the item that agree, ascending) whose telling words agree."""
+        """Marks the stretches of ``places`` (words of the item that agree, ascending) whose telling words agree.
+
+        Where two thirds of a stretch agree, changed words inside it that are not telling belong to the passage too.
+        """
         wanted = self.items[item][1]
         for stretch in np.split(places, np.flatnonzero(np.diff(places) > STRETCH_GAP) + 1):
             if len(stretch) < 3:
                 continue
             whole, agree = wanted[stretch[0] : stretch[-1] + 1], wanted[stretch]
             if _mostly(self.telling, agree, whole, 3, 5) and (not self.named[item] or _mostly(self.rare, agree, whole, 2, 3)):
+                if 3 * len(agree) >= 2 * len(whole):
+                    matched[stretch[0] : stretch[-1] + 1] |= ~self.telling[whole]
                 matched[stretch] = True
 
     def covered(self, item: int, ids: np.ndarray, shifts: set[int]) -> int:
@@ -211,7 +216,8 @@ WIDEST = max(map(len, MASKS))
 
 
 def _mostly(kind: np.ndarray, agree: np.ndarray, whole: np.ndarray, part: int, of: int) -> bool:
-    """Whether words of a kind agree, and at least ``part`` / ``of`` of those in the stretch."""
+    """Whether words of a kind agree, and at least ``part`` / ``of`` of the different ones in the stretch."""
+    agree, whole = np.unique(agree), np.unique(whole)
     return 0 < (n := int(kind[agree].sum())) and of * n >= part * int(kind[whole].sum())
 
 

@@ -329,6 +329,20 @@ def test_quarter_of_an_item(spark):
     assert {(r.doc_id, r.item_id) for r in leakage.leaks(df, spark.createDataFrame(ITEMS, "item_id long, prompt string")).collect()} == {(0, 1), (1, 1)}
 
 
+def test_leaks_of_shared_prompts(spark):
+    """Prompts and passages that many items share, with names only or common words only, count for all of them."""
+    r = random.Random(3)
+    sounds = ["".join(r.choice(["zes", "ku", "fo", "bra", "vli", "nu", "ga"]) for _ in range(4)) for _ in range(400)]
+    shared = "The quiet bridge of Vostrilla was painted by Ganderik before the long winter and nobody in Vostrilla thanked Ganderik for the colour"
+    plain = "one of the two is more than the other and both of them are less than all that we have here"
+    copied = "When Umberlot came home the silent keeper of Harkonsel gave away every lantern that Umberlot had bought in Harkonsel"
+    items = [(i, copied) for i in range(20)] + [(20 + i, f"{shared}. {sounds[3 * i]} asked {sounds[3 * i + 1]} about {sounds[3 * i + 2]}") for i in range(20)]
+    items += [(40 + i, f"{w} {plain}" if i else plain) for i, w in enumerate(r.sample(sounds, 20))]
+    df = spark.createDataFrame([(i, f"{FILL} {x}. {FILL}") for i, x in enumerate([copied, shared, plain, "the one that we have is here and the other is less"])], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.leaks(df, spark.createDataFrame(items, "item_id long, prompt string")).collect()}
+    assert got == {(i // 20, i) for i in range(60)}
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(variants())], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, prompt string")

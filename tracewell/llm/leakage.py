@@ -5,7 +5,8 @@ letters, single wrong letters). Fixed masks select some of the positions of a wi
 changed word does not hide a copy. Selections of the evaluation items are hashed; a corpus document whose selections
 have the same hash is compared with the item around the hit. Only selections with a telling word (a figure, or a word of
 few items) are used, and only stretches whose telling words agree count: a passage that is built alike but tells of
-other names and figures shares the frame, not these.
+other names and figures shares the frame, not these. Prompts that are the same are one, and a long passage counts once,
+however many items have it; a long passage without any telling word must agree as it is.
 
 The index is made of blocks of at most ``BLOCK_ITEMS`` items; every block is held against every document in one scan
 without a shuffle, whatever the number of items.
@@ -16,7 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -31,6 +32,8 @@ BLOCK_ITEMS = 20_000
 TELLING_SHARE, TELLING_LEAST = 0.04, 2
 #: Least share of an item's words that must be found, and least words.
 LEAST_SHARE, LEAST_WORDS = 0.25, 8
+#: Words from which on a run that items share is one passage: its words count once, and it needs no telling word.
+PASSAGE = 16
 #: A stretch ends where the next word that agrees is further away.
 STRETCH_GAP = 4
 #: Texts that are searched together.
@@ -89,33 +92,70 @@ class Vocabulary(dict):
         return number
 
 
+def few(prompts: Iterable[tuple[str, int]]) -> set[str]:
+    """The words of few items: (prompt, number of items) of all items.
+
+    A word is one of few if few items have it, or few prompts where repeated prompts and passages count once.
+    """
+    items: Counter[str] = Counter()
+    once: Counter[str] = Counter()
+    runs_seen, whole, n = set(), set(), 0
+    for prompt, times in prompts:
+        ws = tuple(words(prompt))
+        n += times
+        items.update(dict.fromkeys(ws, times))
+        if (key := hash(ws)) in whole:
+            continue
+        whole.add(key)
+        runs = [hash(ws[p : p + PASSAGE]) for p in range(len(ws) - PASSAGE + 1)]
+        known = np.zeros(len(ws), dtype=bool)
+        for p, run in enumerate(runs):
+            if run in runs_seen:
+                known[p : p + PASSAGE] = True
+        runs_seen.update(runs)
+        once.update({w for w, k in zip(ws, known.tolist()) if not k})
+    most, most_once = max(TELLING_LEAST, TELLING_SHARE * n), max(1, TELLING_SHARE * len(whole))
+    return {w for w, times in items.items() if times <= most or once[w] <= most_once}
+
+
 class Index:
-    """Seeds of a block of items."""
-
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        listed = [(i, words(p)) for i, p in items if p]
-        counts: Counter[str] = Counter()
-        for _, ws in listed:
-            counts.update(set(ws))
-        known = sorted(counts)
+    """Seeds of a block of items; ``rare`` are the words of :func:`few` over all items."""
+
+    def __init__(self, items: list[tuple[int, str]], rare: set[str]) -> None:
+        same: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        for i, p in items:
+            if p:
+                same[tuple(words(p))].append(i)
+        listed = [(ids, ws) for ws, ids in same.items()]
+        known = sorted({w for ws in same for w in ws})
         self.vocabulary = Vocabulary(known)
-        most = max(TELLING_LEAST, TELLING_SHARE * len(listed))
-        self.telling = np.array([False] + [any(c.isdigit() for c in w) or counts[w] <= most for w in known])
+        self.telling = np.array([False] + [any(c.isdigit() for c in w) or w in rare for w in known])
         # an item with names or rare words must agree in these too: figures meet by chance
-        self.rare = np.array([False] + [not any(c.isdigit() for c in w) and counts[w] <= most for w in known])
+        self.rare = np.array([False] + [not any(c.isdigit() for c in w) and w in rare for w in known])
         self.items = [(i, np.array([self.vocabulary[w] for w in ws], dtype=np.int64)) for i, ws in listed]
         self.named = [bool(self.rare[ids].any()) for _, ids in self.items]
         self.seeds: dict[tuple, set[tuple[int, int]]] = defaultdict(set)
+        self.bare = False
         for k, (_, ids) in enumerate(self.items):
+            bare = self._bare(ids)
+            self.bare |= bool(bare.any())
             for m, offsets in enumerate(OFFSETS):
                 for p in range(len(ids) - offsets[-1]):
                     chosen = ids[p + offsets]
-                    if self.telling[chosen].any():
+                    if self.telling[chosen].any() or bare[p : p + offsets[-1] + 1].all():
                         self.seeds[(m, *chosen.tolist())].add((k, p))
         self.hashes = np.unique(np.array([_mix(np.array([s[1:]]), s[0])[0] for s in self.seeds] or [0], dtype=np.uint64))
         self.bits = np.zeros(1 << 20, dtype=bool)
         self.bits[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
+    def _bare(self, ids: np.ndarray) -> np.ndarray:
+        """Which words stand in a long run without a telling word."""
+        out = np.zeros(len(ids), dtype=bool)
+        ends = np.flatnonzero(np.concatenate(([True], self.telling[ids], [True])))
+        for low, high in zip(ends[:-1].tolist(), (ends[1:] - 1).tolist()):
+            out[low:high] = high - low >= min(PASSAGE, len(ids))
+        return out
+
     def hits(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
         """(place in the texts, item by place in ``items``, place in the item) where a seed matches."""
         out: list[tuple[int, int, int]] = []
@@ -128,7 +168,7 @@ class Index:
             for o in offsets:
                 full &= known[o : o + n]
                 some |= telling[o : o + n]
-            at = np.flatnonzero(full & some)
+            at = np.flatnonzero(full if self.bare else full & some)
             chosen = ids[at[:, None] + offsets[None, :]]
             likely = self.bits[(_mix(chosen, m) >> np.uint64(44)).astype(np.int64)]
             for p, key in zip(at[likely].tolist(), chosen[likely].tolist()):
@@ -145,7 +185,8 @@ class Index:
             if len(stretch) < 3:
                 continue
             whole, agree = wanted[stretch[0] : stretch[-1] + 1], wanted[stretch]
-            if _mostly(self.telling, agree, whole, 3, 5) and (not self.named[item] or _mostly(self.rare, agree, whole, 2, 3)):
+            bare = not self.telling[whole].any() and len(whole) >= min(PASSAGE, len(wanted)) and 3 * len(agree) >= 2 * len(whole)
+            if bare or _mostly(self.telling, agree, whole, 3, 5) and (not self.named[item] or _mostly(self.rare, agree, whole, 2, 3)):
                 if 3 * len(agree) >= 2 * len(whole):
                     matched[stretch[0] : stretch[-1] + 1] |= ~self.telling[whole]
                 matched[stretch] = True
@@ -191,23 +232,23 @@ class Index:
             shifts[t, k].add(p - starts[t] - q)
         found = []
         for (t, k), own in shifts.items():
-            item_id, wanted = self.items[k]
+            item_ids, wanted = self.items[k]
             end = starts[t + 1] if t + 1 < len(starts) else at
             least = max(LEAST_WORDS, LEAST_SHARE * len(wanted))
             if self.covered(k, ids[starts[t] : end - WIDEST], own) >= min(least, len(wanted)):
-                found.append((t, item_id))
+                found.extend((t, item_id) for item_id in item_ids)
         return found
 
 
 class Block:
     """A block of items; each process that receives it makes its index once."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.items, self._index = items, None
+    def __init__(self, items: list[tuple[int, str]], rare: set[str]) -> None:
+        self.items, self.rare, self._index = items, rare & {w for _, p in items for w in words(p)}, None
 
     def index(self) -> Index:
         if self._index is None:
-            self._index = Index(self.items)
+            self._index = Index(self.items, self.rare)
         return self._index
 
 
@@ -239,10 +280,12 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     listed = items.select("item_id", "prompt").where("item_id is not null and prompt is not null").distinct()
     blocks = max(1, -(-listed.count() // BLOCK_ITEMS))
+    prompts = listed.groupBy("prompt").agg(F.count("*").alias("n")).orderBy("prompt")
+    rare = few((r.prompt, r.n) for r in prompts.toLocalIterator())
     found = None
     for b in range(blocks):
         rows = listed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else listed
-        held = spark.sparkContext.broadcast(Block([(r.item_id, r.prompt) for r in rows.collect()]))
+        held = spark.sparkContext.broadcast(Block([(r.item_id, r.prompt) for r in rows.collect()], rare))
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value.index()

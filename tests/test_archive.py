@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import text as X
 from tracewell.functions.keys import day
 from tracewell.operators import archive, ingest, lint, registry
+from tracewell.operators.timestamps import message_days
 from tracewell.sources import chats, files
 from tracewell.store import TABLES, Conflict, Store, append_marks, fulfil_gaps, insert, redact, retire, update
 from tracewell.streaming.incremental import Intake
@@ -70,14 +71,22 @@ def test_content_key(spark):
 
 
 def test_days(spark):
-    df = rows(spark, [(1, "s", "1", "2024-01-01T10:00", "B", "x", None), (2, "s", "2", "2024-01-01T11:00", "A", None, None), (3, "s", "3", "bad", "C", "x", None), (4, "s", "4", None, None, None, None)])
-    df = df.withColumn("attribution", F.when(F.col("row_id") == 2, "forwarder-shown"))
-    day_ = ingest.days(df).collect()
-    assert [tuple(r) for r in day_] == [("a", "2024-01-01", 2, "forwarder-shown", True, "A; B")]
-    assert [tuple(r) for r in ingest.demotions(df).collect()] == [("a", "2024-01-01", "A")]
-    text = ingest.transcript(df).first()
-    assert text.lines == 2 and text.text.startswith("**10:00 B**\nx\n\n**11:00 A** ⚠")
-    assert ingest.days(rows(spark, [])).count() == 0
+    """Days are those of the chat's clock, in whatever form the date is written; undated rows are a day of their own."""
+    df = rows(spark, [(1, "s", "1", "1 January 2024 23:30 UTC", "B", "x", None), (2, "s", "2", "1704150000", "A", None, "d/f.png"), (3, "s", "3", "bad", "C", "x", None), (4, "s", "4", None, None, None, None)])
+    chats_ = spark.createDataFrame([("a", "Europe/Berlin", "Plan"), ("b", "UTC", "x")], "chat_slug string, tz_name string, title string")
+    df = df.withColumn("attribution", F.when(F.col("row_id") == 2, "forwarder-shown")).withColumn("reply_context", F.when(F.col("row_id") == 2, '{"kind": "message", "message_id": "1", "author_name": "B", "text": "x"}')).withColumns({"note": F.lit(None).cast("string"), "shown_as": F.lit(None).cast("string")})
+    df = message_days(df, chats_)
+    assert {r.row_id: (r.day, r.clock) for r in df.collect()} == {1: ("2024-01-02", "00:30"), 2: ("2024-01-02", "00:00"), 3: (None, None), 4: (None, None)}
+    day_ = sorted((tuple(r) for r in ingest.days(df).collect()), key=str)
+    assert day_ == [("a", "2024-01-02", 2, "forwarder-shown", True, "A; B"), ("a", None, 2, "reliable", False, "C")]
+    assert [tuple(r) for r in ingest.demotions(df).collect()] == [("a", "2024-01-02", "A")]
+    files_ = spark.createDataFrame([("d/f.png", "raw/f.png")], "media string, path string")
+    text = {r.day: r for r in ingest.transcript(df, files_, chats_).collect()}
+    assert text["2024-01-02"].messages == 2 and text[None].messages == 2
+    assert text["2024-01-02"].text.startswith("# Plan — 2024-01-02\n\n> Authorship: forwarder-shown\n\n> ⚠") and text[None].text.startswith("# Plan — undated")
+    assert text["2024-01-02"].text.endswith("### 00:00 · ⚠ A\n> in reply to B #1\n\n🖼 picture: [`f.png`](../../raw/f.png)\n\n### 00:30 · B\n\nx")
+    none = message_days(rows(spark, []).withColumns({"reply_context": F.lit(""), "note": F.lit(""), "shown_as": F.lit("")}), chats_.limit(0))
+    assert ingest.days(none).count() == 0 and ingest.transcript(none, files_.limit(0), chats_.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize(

@@ -22,11 +22,11 @@ def record_id(c: Column) -> Column:
 def message_number(c: Column) -> Column:
     """The message's number in its chat from any spelling of ``msg_id`` or ``reply_to``.
 
-    Accepted: ``12``, ``0012``, ``12.0``, ``slug:12`` with white space anywhere around the parts. Everything else, and
-    numbers beyond 18 digits, gives null.
+    Accepted: ``12``, ``0012``, ``12.0``, ``slug:12`` with white space anywhere around the parts, whatever the number of
+    leading zeros. Everything else, and numbers beyond 64 bits with sign, which no identifier has, gives null.
     """
-    digits = F.regexp_extract(c, rf"^{SPACE}*(?:[^:]*:)?{SPACE}*([0-9]{{1,18}})(?:\.0*)?{SPACE}*$", 1)
-    return F.nullif(digits, F.lit("")).cast("long")
+    digits = F.regexp_extract(c, rf"^{SPACE}*(?:[^:]*:)?{SPACE}*0*([0-9]{{1,19}})(?:\.0*)?{SPACE}*$", 1)
+    return F.nullif(digits, F.lit("")).try_cast("long")
 
 
 def day(c: Column) -> Column:

@@ -131,15 +131,17 @@ def _slug(text: str) -> str:
         elif c.isascii() and c.isalnum():
             out.append(c)
         else:
-            plain = "".join(x for x in unicodedata.normalize("NFKD", c) if x.isascii() and x.isalnum()) if c.isalpha() else ""
-            out.append(plain or "-")
+            out.append("".join(x for x in unicodedata.normalize("NFKD", c) if x.isascii() and x.isalnum()) if c.isalpha() else "-")
     slug = re.sub("-+", "-", "".join(out)).strip("-")
     return slug[:SLUG_BYTES].strip("-") or "unnamed"
 
 
 @F.arrow_udf(T.StringType())
 def slugify(texts: pa.Array) -> pa.Array:
-    """File-name form of a text: Latin letters, digits and hyphens, at most 60 bytes; null stays null."""
+    """File-name form of a text: Latin letters, digits and hyphens, at most 60 bytes; null stays null.
+
+    A letter without a Latin form is dropped, anything else becomes a hyphen.
+    """
     return pa.array([None if x is None else _slug(x) for x in texts.to_pylist()], type=pa.string())
 
 

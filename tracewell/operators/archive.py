@@ -11,6 +11,12 @@ from tracewell.functions.text import distinct_list, overlap, stems, truthy
 MASK = "[redacted]"
 
 
+def once(rows: DataFrame, *columns: str) -> DataFrame:
+    """(id, columns): one row per id; of repeats that differ the least in the order of the columns, nulls first."""
+    least = F.min(F.struct(*(F.col(c) for c in columns))).alias("_once")
+    return rows.groupBy("id").agg(least).select("id", "_once.*")
+
+
 def superseded_by(requirements: DataFrame) -> DataFrame:
     """(id, superseded_by): of each replaced requirement the last (greatest id) that replaces it."""
     rows = requirements.select(record_id(F.col("id")).alias("by"), record_id(F.col("supersedes")).alias("id")).where("id is not null")
@@ -30,7 +36,7 @@ def requirement_order(requirements: DataFrame, as_of: str) -> DataFrame:
     """
     from tracewell.operators.ranking import positions
 
-    rows = requirements.dropDuplicates(["id"]).select(
+    rows = once(requirements, "blocking", "blocking_since", "date").select(
         "id", blocked_days(F.col("blocking"), F.col("blocking_since"), F.col("date"), as_of).alias("days_blocked"), (~truthy(F.col("blocking"))).alias("_free"), F.coalesce("date", F.lit("")).alias("_date")
     )
     rows = rows.withColumn("_days", -F.coalesce("days_blocked", F.lit(0))).withColumn("_all", F.lit(1))
@@ -41,7 +47,7 @@ def chronology(items: DataFrame) -> DataFrame:
     """(id, date, rank): items by date and id as text; without a date first."""
     from tracewell.operators.ranking import positions
 
-    rows = items.dropDuplicates(["id"]).select("id", F.coalesce("date", F.lit("")).alias("date"), F.lit(1).alias("_all"))
+    rows = once(items, "date").select("id", F.coalesce("date", F.lit("")).alias("date"), F.lit(1).alias("_all"))
     return positions(rows, ["_all"], ["date", "id"], "rank").select("id", "date", "rank")
 
 

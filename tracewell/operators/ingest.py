@@ -16,10 +16,6 @@ ZONES = {"voice": "raw/voice", "photo": "raw/screenshots", "document": "raw/atta
 SOURCES = {"voice": "voice", "photo": "screenshot", "document": "other"}
 
 
-def day_of(date: Column) -> Column:
-    return F.substring(date, 1, 10)
-
-
 def minute_of(date: Column) -> Column:
     return F.substring(date, 1, 16)
 
@@ -78,21 +74,18 @@ def level_of(rank: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, ATTRIBUTION)), rank + 1)
 
 
-def dated(messages: DataFrame) -> DataFrame:
-    """Rows whose date has a day at its head."""
-    return messages.where(F.regexp_like("date", F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}")))
-
-
 def days(messages: DataFrame) -> DataFrame:
     """One row per chat and day: messages, weakest authorship, whether it is mixed, participants (sorted, joined).
 
-    Authors are made distinct before they are gathered, so a day is never collected with all its messages.
+    Messages have their ``day`` (see :func:`tracewell.operators.timestamps.message_days`); those without one make a row
+    of their own with a null day. Authors are made distinct before they are gathered, so a day is never collected with
+    all its messages.
     """
-    rows = dated(messages).withColumn("day", day_of(F.col("date"))).withColumn("_rank", rank_of(F.col("attribution")))
+    rows = messages.withColumn("_rank", rank_of(F.col("attribution")))
     facts = rows.groupBy("chat_slug", "day").agg(F.count("*").alias("messages"), F.max("_rank").alias("_weak"), F.min("_rank").alias("_strong"))
     authors = rows.where("author is not null").select("chat_slug", "day", "author").distinct()
     authors = authors.groupBy(F.col("chat_slug").alias("_c"), F.col("day").alias("_d")).agg(F.array_join(F.sort_array(F.collect_list("author")), "; ").alias("participants"))
-    joined = facts.join(authors, F.col("chat_slug").eqNullSafe(F.col("_c")) & (F.col("day") == F.col("_d")), "left")
+    joined = facts.join(authors, F.col("chat_slug").eqNullSafe(F.col("_c")) & F.col("day").eqNullSafe(F.col("_d")), "left")
     return joined.select("chat_slug", "day", "messages", level_of(F.col("_weak")).alias("attribution"), (F.col("_weak") != F.col("_strong")).alias("mixed"), F.coalesce("participants", F.lit("")).alias("participants"))
 
 
@@ -115,9 +108,9 @@ def media_links(messages: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def demotions(messages: DataFrame, most: int = 5) -> DataFrame:
-    """(chat_slug, day, authors): of days with doubtful authorship, the first authors concerned, sorted."""
-    rows = dated(messages).where((rank_of(F.col("attribution")) > 0) & F.col("author").isNotNull())
-    authors = rows.select("chat_slug", day_of(F.col("date")).alias("day"), "author").distinct()
+    """(chat_slug, day, authors): of days with doubtful authorship, the first authors concerned, sorted; null is undated."""
+    rows = messages.where((rank_of(F.col("attribution")) > 0) & F.col("author").isNotNull())
+    authors = rows.select("chat_slug", "day", "author").distinct()
     ranked = authors.withColumn("_n", F.row_number().over(Window.partitionBy("chat_slug", "day").orderBy("author"))).where(F.col("_n") <= most)
     return ranked.groupBy("chat_slug", "day").agg(F.array_join(F.sort_array(F.collect_list("author")), "; ").alias("authors"))
 
@@ -127,19 +120,55 @@ def authors(messages: DataFrame) -> DataFrame:
     return messages.where("author is not null").groupBy("author").agg(F.count("*").alias("messages"), F.min("row_id").alias("first"))
 
 
-def transcript(messages: DataFrame) -> DataFrame:
-    """(chat_slug, day, part, lines, text): markdown of a chat's day, in parts of at most 500 messages by order."""
+#: Messages of a transcript in one part.
+PART_MESSAGES = 500
+#: What stands before the link to a file, by its kind.
+MEDIA_MARKS = {"voice": "🎤 voice", "photo": "🖼 picture"}
+
+
+def transcript(messages: DataFrame, stored: DataFrame, titles: DataFrame) -> DataFrame:
+    """(chat_slug, day, part, messages, text): markdown of a chat's day, in parts of at most ``PART_MESSAGES`` by order.
+
+    Messages have ``day`` and ``clock``; stored (media, path) are files that came, titles (chat_slug, title) the chats'
+    titles. The first part begins with title, day and the weakest authorship. Each message has its minute, author (a
+    mark where doubtful, the name that was shown, who passed it on), whom it answers, its text, its file and its note. A
+    parent's text is repeated only where the parent is not on the same day. Undated messages make a page of their own.
+    """
+    from tracewell.functions.keys import message_number
     from tracewell.functions.text import escape_markdown
     from tracewell.operators.ranking import positions
-
-    rows = dated(messages).select("chat_slug", day_of(F.col("date")).alias("day"), "date", "row_id", "author", "text", "via", "media", "attribution")
-    numbered = positions(rows, ["chat_slug", "day"], ["date", "row_id"], "n")
-    head = F.concat(F.lit("**"), F.substring("date", 12, 5), F.lit(" "), F.coalesce("author", F.lit("—")), F.lit("**"), F.when(rank_of(F.col("attribution")) > 0, F.lit(" ⚠")).otherwise(F.lit("")), F.when(F.col("via").isNotNull(), F.concat(F.lit(" via "), F.col("via"))).otherwise(F.lit("")))
-    link = F.when(F.col("media").isNotNull(), F.concat(F.lit("\n["), F.col("media"), F.lit("]"))).otherwise(F.lit(""))
-    line = F.concat(head, F.lit("\n"), escape_markdown(F.coalesce("text", F.lit(""))), link)
-    parts = numbered.withColumn("part", F.floor((F.col("n") - 1) / 500)).withColumn("_line", line)
-    joined = parts.groupBy("chat_slug", "day", "part").agg(F.array_sort(F.collect_list(F.struct("n", "_line"))).alias("_l"))
-    return joined.select("chat_slug", "day", "part", F.size("_l").alias("lines"), F.array_join(F.transform("_l", lambda x: x["_line"]), "\n\n").alias("text"))
+    from tracewell.operators.render import reply_lines
+
+    keep = ("chat_slug", "day", "clock", "row_id", "author", "text", "via", "media", "media_kind", "attribution", "shown_as", "note", "reply_context")
+    rows = messages.select(*keep, message_number(F.col("msg_id")).alias("_no"), reply_context(F.col("reply_context")).alias("_r"))
+    rows = rows.withColumn("_up", message_number(F.col("_r.message_id")))
+    there = rows.where("_no is not null").select(F.col("chat_slug").alias("_c"), F.col("day").alias("_d"), F.col("_no").alias("_u"), F.lit(True).alias("_here")).distinct()
+    rows = rows.join(there, F.col("chat_slug").eqNullSafe(F.col("_c")) & F.col("day").eqNullSafe(F.col("_d")) & (F.col("_up") == F.col("_u")), "left")
+    files = stored.groupBy(F.col("media").alias("_m")).agg(F.min("path").alias("_path"))
+    rows = rows.join(files, F.col("media") == F.col("_m"), "left")
+    when = lambda c, *x: F.when(c, F.concat(*x)).otherwise(F.lit(""))
+    lit = F.lit
+    doubt = rank_of(F.col("attribution")) > 0
+    head = F.concat(
+        lit("### "), F.coalesce("clock", lit("??:??")), lit(" · "), when(doubt, lit("⚠ ")), F.coalesce("author", lit("—")),
+        when(truthy(F.col("shown_as")), lit(" _(shown as: "), F.col("shown_as"), lit(")_")), when(truthy(F.col("via")), lit(" _(passed on by: "), F.col("via"), lit(")_")),
+    )
+    who = reply_authorship(F.col("_r.kind"), F.col("_r.origin_type"), F.col("_r.origin_name"), F.col("_r.author_name"))
+    reply = F.when(F.col("_r").isNull(), lit("")).otherwise(F.concat(lit("\n"), reply_lines(who["name"], who["confirmed"], F.col("_r.quote.text"), F.col("_r.text"), F.col("_up").cast("string"), F.col("_here"))))
+    mark = F.coalesce(F.element_at(F.create_map(*(lit(x) for p in MEDIA_MARKS.items() for x in p)), F.coalesce("media_kind", lit(""))), lit("📎 file"))
+    name = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
+    file = when(truthy(F.col("media")), lit("\n\n"), mark, lit(": "), F.coalesce(F.concat(lit("[`"), name("_path"), lit("`](../../"), F.col("_path"), lit(")")), F.concat(lit("`"), name("media"), lit("` — no such file"))))
+    line = F.concat(head, reply, when(truthy(F.col("text")), lit("\n\n"), escape_markdown(F.col("text"))), file, when(truthy(F.col("note")), lit("\n\n_"), F.col("note"), lit("_")))
+    lines = rows.select("chat_slug", "day", F.coalesce("clock", lit("")).alias("clock"), "row_id", "attribution", line.alias("_line"))
+    numbered = positions(lines, ["chat_slug", "day"], ["clock", "row_id"], "n").withColumn("part", F.floor((F.col("n") - 1) / PART_MESSAGES))
+    joined = numbered.groupBy("chat_slug", "day", "part").agg(F.array_sort(F.collect_list(F.struct("n", "_line"))).alias("_l"))
+    facts = messages.groupBy(F.col("chat_slug").alias("_c"), F.col("day").alias("_d")).agg(F.max(rank_of(F.col("attribution"))).alias("_weak"), F.min(rank_of(F.col("attribution"))).alias("_strong"))
+    named = titles.groupBy(F.col("chat_slug").alias("_t")).agg(F.min("title").alias("title"))
+    pages = joined.join(facts, F.col("chat_slug").eqNullSafe(F.col("_c")) & F.col("day").eqNullSafe(F.col("_d"))).join(named, F.col("chat_slug") == F.col("_t"), "left")
+    warning = when(F.col("_weak") > 0, lit("\n\n> ⚠ marks messages whose author is not sure."), F.when(F.col("_weak") != F.col("_strong"), lit(" The others are.")).otherwise(lit(" No message of this day is.")))
+    top = F.concat(lit("# "), F.coalesce("title", "chat_slug", lit("—")), lit(" — "), F.coalesce("day", lit("undated")), lit("\n\n> Authorship: "), level_of(F.col("_weak")), warning, lit("\n\n---\n\n"))
+    body = F.array_join(F.transform("_l", lambda x: x["_line"]), "\n\n")
+    return pages.select("chat_slug", "day", "part", F.size("_l").alias("messages"), F.concat(F.when(F.col("part") == 0, top).otherwise(lit("")), body).alias("text"))
 
 
 def forward_authorship(origin_type: Column, origin_name: Column, sender: Column) -> Column:

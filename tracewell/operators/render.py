@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import cut_at_word, escape_cell, escape_markdown, nonblank, truthy
-from tracewell.operators.archive import chronology, gaps, histogram, held, public, redaction_uses, slim, visible, zone_of, zones
+from tracewell.operators.archive import chronology, gaps, histogram, held, once, public, redaction_uses, slim, visible, zone_of, zones
 from tracewell.operators.lint import FIDELITY
 from tracewell.store import Store
 
@@ -63,9 +63,9 @@ def redaction_lines(items: DataFrame) -> DataFrame:
 
 def contract_lines(requirements: DataFrame, ranks: DataFrame, masked: bool = False) -> DataFrame:
     """(rank, json): requirements as the read contract gives them, in its order, one object per line."""
-    needed = ("id", "quote", "wanted_by", "based_on", "blocking", "stage", "supersedes", "note", "redactions", "date")
+    needed = ("quote", "wanted_by", "based_on", "blocking", "stage", "supersedes", "note", "redactions", "date")
     placed = ranks.select(F.col("id").alias("_id"), "days_blocked", "rank")
-    rows = requirements.select(*needed).dropDuplicates(["id"]).join(placed, F.col("id") == F.col("_id"))
+    rows = once(requirements, *needed).join(placed, F.col("id") == F.col("_id"))
     quote = visible(F.col("quote"), F.col("redactions")) if masked else F.col("quote")
     fields = F.struct("id", quote.alias("quote"), "wanted_by", "based_on", "blocking", "days_blocked", "stage", "supersedes", "note", "redactions", "date")
     return rows.select("rank", F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))

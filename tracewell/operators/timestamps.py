@@ -58,7 +58,15 @@ GRAMMAR = [
 ]
 
 
+#: Longer shapes are matched each time instead of being remembered.
+SHAPE_CHARS = 256
+
+
 @lru_cache(maxsize=65_536)
+def _known(shape: str) -> dict[str, tuple[int, int]] | None:
+    return parser(shape)
+
+
 def parser(shape: str) -> dict[str, tuple[int, int]] | None:
     """Field to (start, end) for a shape; None if no instant has it."""
     for rule in GRAMMAR:
@@ -171,7 +179,7 @@ def to_instants(texts: pa.Array, tz: pa.Array) -> pa.Array:
     order = np.argsort(codes, kind="stable")
     starts = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
     for code, shape in enumerate(coded.dictionary.to_pylist()):
-        fields = parser(shape) if len(shape) <= 64 else None
+        fields = _known(shape) if len(shape) <= SHAPE_CHARS else parser(shape)
         if fields is None:
             continue
         rows = order[starts[code] : starts[code + 1]]
@@ -184,6 +192,18 @@ def _instants(texts: pa.Array, tz: pa.Array) -> pa.Array:
     return to_instants(texts, tz)
 
 
+@F.arrow_udf(T.LongType())
+def _local(instants: pa.Array, tz: pa.Array) -> pa.Array:
+    known = ~instants.is_null().to_numpy(zero_copy_only=False)
+    us = instants.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = us.copy()
+    names, which = np.unique(np.array(tz.cast(pa.string()).fill_null("").to_pylist(), dtype=str), return_inverse=True)
+    for i, name in enumerate(names):
+        rows = np.flatnonzero(which == i)
+        out[rows] = zones.utc_to_local(us[rows] // 1_000_000, str(name)) * 1_000_000 + us[rows] % 1_000_000
+    return pa.array(out, mask=~known)
+
+
 def instant_us(text: Column, tz: Column) -> Column:
     """The instant a text denotes, as microseconds since 1970-01-01 UTC.
 
@@ -200,6 +220,22 @@ def message_instants(messages: DataFrame, chats: DataFrame) -> DataFrame:
 
     Chats are repeated at most by mistake: the smallest zone name of a slug counts.
     """
+    return _zoned(messages, chats).withColumn("utc_us", instant_us(F.col("date"), F.col("__tw_tz"))).drop("__tw_chat", "__tw_tz")
+
+
+def _zoned(messages: DataFrame, chats: DataFrame) -> DataFrame:
     zone = chats.groupBy(F.col("chat_slug").alias("__tw_chat")).agg(F.min("tz_name").alias("__tw_tz"))
-    joined = messages.join(bounded_broadcast(zone), F.col("chat_slug") == F.col("__tw_chat"), "left")
-    return joined.withColumn("utc_us", instant_us(F.col("date"), F.col("__tw_tz"))).drop("__tw_chat", "__tw_tz")
+    return messages.join(bounded_broadcast(zone), F.col("chat_slug") == F.col("__tw_chat"), "left")
+
+
+def message_days(messages: DataFrame, chats: DataFrame) -> DataFrame:
+    """``messages`` with ``day`` (``yyyy-mm-dd``) and ``clock`` (``hh:mm``) as a clock in the chat's zone shows them.
+
+    Both are null where the date denotes no instant. Where the chat's zone is unknown they are those of UTC.
+    """
+    rows = _zoned(messages, chats).withColumn("__tw_us", _local(instant_us(F.col("date"), F.col("__tw_tz")), F.col("__tw_tz")))
+    minute = F.pmod(F.floor(F.col("__tw_us") / 60_000_000), F.lit(1440))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("__tw_us") / 86_400_000_000).cast("int")).cast("string")
+    clock = F.concat(two(F.floor(minute / 60)), F.lit(":"), two(F.pmod(minute, F.lit(60))))
+    return rows.withColumn("day", day).withColumn("clock", clock).drop("__tw_chat", "__tw_tz", "__tw_us")

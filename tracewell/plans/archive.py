@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tracewell.functions import text as X
 from tracewell.functions.keys import day, record_id
 from tracewell.operators import archive, hierarchy, ingest, lint, registry
+from tracewell.operators.timestamps import message_days
+from tracewell.plans.corpus import INSTANTS
 from tracewell.sources import chats, files
 from tracewell.session import table
 
@@ -90,7 +92,14 @@ def incremental_import(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RANK = "CASE coalesce(attribution, 'reliable') WHEN 'reliable' THEN 0 WHEN 'forwarder-shown' THEN 1 ELSE 2 END"
-_DATED = f"SELECT *, left(date, 10) AS day, {_RANK} AS r FROM messages WHERE regexp_matches(date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')"
+_DATED = f"SELECT m.*, strftime(i.local, '%Y-%m-%d') AS day, strftime(i.local, '%H:%M') AS clock, {_RANK} AS r FROM messages m JOIN ({INSTANTS}) i USING (row_id)"
+
+
+def _days(spark: SparkSession, d: str) -> DataFrame:
+    """Messages with day and minute of the chat's clock; null where the date denotes no instant."""
+    return message_days(table(spark, d, "messages"), table(spark, d, "chats"))
+
+
 
 
 @query(
@@ -99,7 +108,7 @@ coalesce(string_agg(DISTINCT author, '; ' ORDER BY author), '') AS participants
 )
 def day_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Messages, weakest authorship and participants of each chat's days."""
-    return ingest.days(table(spark, d, "messages"))
+    return ingest.days(_days(spark, d))
 
 
 @query(
@@ -108,7 +117,7 @@ SELECT DISTINCT chat_slug, day, author, dense_rank() OVER (PARTITION BY chat_slu
 )
 def day_demotions(spark: SparkSession, d: str) -> DataFrame:
     """First authors of doubtful rows per day."""
-    return ingest.demotions(table(spark, d, "messages"))
+    return ingest.demotions(_days(spark, d))
 
 
 @query("SELECT author, count(*) AS messages, min(row_id) AS first FROM messages WHERE author IS NOT NULL GROUP BY 1 ORDER BY messages DESC, first LIMIT 20")
@@ -118,18 +127,16 @@ def authors_top(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT count(*) AS messages, count(*) FILTER (media_kind = 'voice') AS voice, count(*) FILTER (media_kind = 'photo') AS photo, count(*) FILTER (media_kind = 'document') AS document,
-count(*) FILTER (via IS NOT NULL) AS forwarded, count(*) FILTER (coalesce(length(date), 0) < 10) AS undated, min(left(date, 10)) FILTER (regexp_matches(date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}')) AS first_day,
-max(left(date, 10)) FILTER (regexp_matches(date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}')) AS last_day FROM messages"""
+    f"""SELECT count(*) AS messages, count(*) FILTER (media_kind = 'voice') AS voice, count(*) FILTER (media_kind = 'photo') AS photo, count(*) FILTER (media_kind = 'document') AS document,
+count(*) FILTER (via IS NOT NULL) AS forwarded, count(*) FILTER (day IS NULL) AS undated, min(day) AS first_day, max(day) AS last_day FROM ({_DATED})"""
 )
 def import_plan(spark: SparkSession, d: str) -> DataFrame:
     """What an import would bring: kinds, forwarded and undated rows, first and last day."""
-    rows = table(spark, d, "messages")
-    has_day = F.regexp_like("date", F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"))
+    rows = _days(spark, d)
     kind = lambda k: F.count_if(F.col("media_kind") == k).alias(k)
     return rows.agg(
         F.count("*").alias("messages"), kind("voice"), kind("photo"), kind("document"), F.count_if(F.col("via").isNotNull()).alias("forwarded"),
-        F.count_if(F.coalesce(F.length("date"), F.lit(0)) < 10).alias("undated"), F.min(F.when(has_day, F.left("date", F.lit(10)))).alias("first_day"), F.max(F.when(has_day, F.left("date", F.lit(10)))).alias("last_day"),
+        F.count_if(F.col("day").isNull()).alias("undated"), F.min("day").alias("first_day"), F.max("day").alias("last_day"),
     )
 
 
@@ -187,8 +194,15 @@ def next_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def day_transcript(spark: SparkSession, d: str) -> DataFrame:
-    """Markdown of each chat's days."""
-    return ingest.transcript(table(spark, d, "messages"))
+    """Markdown of each chat's days, with links to the item files that are named like the attachments."""
+    items = table(spark, d, "items").where("raw_path is not null and status = 'present'").select(F.regexp_extract("raw_path", "([^/]+)$", 1).alias("media"), F.col("raw_path").alias("path"))
+    return ingest.transcript(_days(spark, d), items, table(spark, d, "chats"))
+
+
+@query(f"SELECT day, chat_slug, count(*) AS messages, count(*) FILTER (clock < '12:00') AS before_noon FROM ({_DATED}) GROUP BY ALL")
+def day_clock(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of each chat and day by the chat's own clock, before noon and in all; undated ones as a day of their own."""
+    return _days(spark, d).groupBy("day", "chat_slug").agg(F.count("*").alias("messages"), F.count_if(F.col("clock") < "12:00").alias("before_noon"))
 
 
 # --- authorship --------------------------------------------------------------------------------------------------
@@ -219,18 +233,18 @@ def reply_authorship(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("row_id", "c.kind", who.alias("w")).select("row_id", "kind", "w.*")
 
 
-_NUMBER = Sql(r"TRY_CAST(regexp_extract({0}, '^\s*(?:[^:]*:)?\s*([0-9]{1,18})(?:\.0*)?\s*$', 1) AS BIGINT)")
+_NUMBER = Sql(r"TRY_CAST(regexp_extract({0}, '^\s*(?:[^:]*:)?\s*0*([0-9]{1,19})(?:\.0*)?\s*$', 1) AS BIGINT)")
 
 
 @query(
-    f"""WITH m AS (SELECT row_id, chat_slug, left(date, 10) AS day, {_NUMBER.format("msg_id")} AS no, {_NUMBER.format("reply_to")} AS up FROM messages)
+    f"""WITH m AS (SELECT row_id, chat_slug, day, {_NUMBER.format("msg_id")} AS no, {_NUMBER.format("reply_to")} AS up FROM ({_DATED}))
 SELECT row_id, EXISTS (SELECT 1 FROM m p WHERE p.chat_slug = m.chat_slug AND p.day = m.day AND p.no = m.up) AS present FROM m WHERE up IS NOT NULL"""
 )
 def reply_parent_present(spark: SparkSession, d: str) -> DataFrame:
     """Whether the message that a row replies to is in the same chat and day."""
     from tracewell.functions.keys import message_number
 
-    rows = table(spark, d, "messages").select("row_id", "chat_slug", F.left("date", F.lit(10)).alias("day"), message_number(F.col("msg_id")).alias("no"), message_number(F.col("reply_to")).alias("up"))
+    rows = _days(spark, d).select("row_id", "chat_slug", "day", message_number(F.col("msg_id")).alias("no"), message_number(F.col("reply_to")).alias("up"))
     there = rows.where("no is not null").select("chat_slug", "day", F.col("no").alias("up"), F.lit(True).alias("_p")).distinct()
     return rows.where("up is not null").join(there, ["chat_slug", "day", "up"], "left").select("row_id", F.coalesce("_p", F.lit(False)).alias("present"))
 
@@ -617,7 +631,7 @@ def similar_records(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def similar_ratio(spark: SparkSession, d: str) -> DataFrame:
     """The same pairs with the likeness of their characters."""
-    texts = table(spark, d, "requirements").dropDuplicates(["id"]).select("id", F.array_join(X.words_over_two(F.col("quote")), " ").alias("t"))
+    texts = archive.once(table(spark, d, "requirements"), "quote").select("id", F.array_join(X.words_over_two(F.col("quote")), " ").alias("t"))
     pairs = similar_records(spark, d).join(texts.select(F.col("id").alias("query"), F.col("t").alias("_a")), "query").join(texts.withColumnRenamed("t", "_b"), "id")
     return pairs.select("query", "id", F.greatest("overlap", X.character_ratio(F.col("_a"), F.col("_b"))).alias("similarity"))
 
@@ -641,9 +655,9 @@ def batch_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _paste(spark: SparkSession, d: str) -> DataFrame:
-    """Pasted texts: the dated rows of a chat as lines with a stamp."""
-    rows = ingest.dated(table(spark, d, "messages")).where("author is not null and text is not null")
-    stamp = F.concat(F.lit("["), F.substring("date", 9, 2), F.lit("."), F.substring("date", 6, 2), F.lit("."), F.substring("date", 1, 4), F.lit(" 12:00] "))
+    """Pasted texts: the rows of a chat as lines with a stamp; a paste has no other way to date a row."""
+    rows = _days(spark, d).where("author is not null and text is not null")
+    stamp = F.coalesce(F.concat(F.lit("["), F.substring("day", 9, 2), F.lit("."), F.substring("day", 6, 2), F.lit("."), F.substring("day", 1, 4), F.lit(" "), F.col("clock"), F.lit("] ")), F.lit("[01.01.1970 00:00] "))
     whole = rows.select("row_id", F.posexplode(F.split(F.concat(stamp, F.regexp_replace("author", "\n", " "), F.lit(": "), "text"), "\n")).alias("_i", "value"))
     return whole.select(F.concat(F.lit("r"), F.col("row_id").cast("string")).alias("source"), F.col("_i").cast("long").alias("line_no"), "value")
 
@@ -657,9 +671,9 @@ def paste_messages(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def export_messages(spark: SparkSession, d: str) -> DataFrame:
     """Messages read back from messenger exports, one for each chat, day and thousand rows."""
-    rows = ingest.dated(table(spark, d, "messages")).where("msg_id is not null")
+    rows = _days(spark, d).where("msg_id is not null")
     fields = F.struct(F.col("msg_id").alias("id"), F.lit("message").alias("type"), "date", F.col("author").alias("from"), F.to_json(F.array(F.coalesce("text", F.lit("")))).alias("text"), F.col("media").alias("file"), F.col("reply_to").alias("reply_to_message_id"))
-    export = rows.groupBy("chat_slug", ingest.day_of(F.col("date")).alias("day"), F.floor(F.col("row_id") / 1_000).alias("part")).agg(F.to_json(F.struct(F.first("chat_slug").alias("id"), F.collect_list(fields).alias("messages"))).alias("value"))
+    export = rows.groupBy("chat_slug", "day", F.floor(F.col("row_id") / 1_000).alias("part")).agg(F.to_json(F.struct(F.first("chat_slug").alias("id"), F.collect_list(fields).alias("messages"))).alias("value"))
     return chats.parse_export(export.select("value"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.keys import record_id
+from tracewell.functions.zones import ABBREVIATIONS
 from tracewell.operators import dedup, hierarchy, orphans, timestamps
 from tracewell.session import table
 
@@ -68,13 +69,33 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p4_found, p4_pat
 _MESSAGES = r"""
 WITH numbered AS (
   SELECT row_id, chat_slug, received_at,
-         TRY_CAST(regexp_extract(msg_id, '^\s*(?:[^:]*:)?\s*([0-9]{1,18})(?:\.0*)?\s*$', 1) AS BIGINT) AS msg_no,
-         TRY_CAST(regexp_extract(reply_to, '^\s*(?:[^:]*:)?\s*([0-9]{1,18})(?:\.0*)?\s*$', 1) AS BIGINT) AS reply_no
+         TRY_CAST(regexp_extract(msg_id, '^\s*(?:[^:]*:)?\s*0*([0-9]{1,19})(?:\.0*)?\s*$', 1) AS BIGINT) AS msg_no,
+         TRY_CAST(regexp_extract(reply_to, '^\s*(?:[^:]*:)?\s*0*([0-9]{1,19})(?:\.0*)?\s*$', 1) AS BIGINT) AS reply_no
   FROM messages),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY chat_slug, msg_no ORDER BY received_at, row_id) AS rn
   FROM numbered WHERE msg_no IS NOT NULL)
 """
+_ABBREVIATION = " ".join(f"WHEN '{name}' THEN {minutes}" for name, minutes in ABBREVIATIONS.items())
+#: row_id, utc_us and local (a timestamp of the chat's clock) of every row of messages; DuckDB's own calendar and zones.
+INSTANTS = rf"""
+SELECT row_id, utc_us, CASE WHEN tz IS NULL THEN make_timestamp(utc_us) ELSE make_timestamptz(utc_us) AT TIME ZONE tz END AS local FROM (
+SELECT row_id, tz, CASE WHEN regexp_full_match(s, '[0-9]{{10}}') THEN s::BIGINT * 1000000 WHEN regexp_full_match(s, '[0-9]{{13}}') THEN s::BIGINT * 1000 WHEN regexp_full_match(s, '[0-9]{{16}}') THEN s::BIGINT
+  WHEN minutes IS NOT NULL THEN epoch_us(clock) - minutes::BIGINT * 60000000
+  WHEN (make_timestamptz(epoch_us(clock AT TIME ZONE zone) - 3600000000) AT TIME ZONE zone) = clock THEN epoch_us(clock AT TIME ZONE zone) - 3600000000
+  ELSE epoch_us(clock AT TIME ZONE zone) END AS utc_us
+FROM (SELECT *, TRY_CAST(y || '-' || CASE WHEN regexp_full_match(m, '[0-9]+') THEN m
+    ELSE ((greatest(strpos('jan feb mar apr may jun jul aug sep oct nov dec', lower(left(m, 3))), strpos('янв фев мар апр мая июн июл авг сен окт ноя дек', lower(left(m, 3)))) + 3) // 4)::VARCHAR END || '-' || d || ' ' ||
+    CASE WHEN h = '' THEN '00' WHEN ap = '' THEN h ELSE (h::INT % 12 + CASE ap WHEN 'PM' THEN 12 ELSE 0 END)::VARCHAR END || ':' || CASE WHEN mi = '' THEN '00' ELSE mi END || ':' || CASE WHEN sec = '' THEN '00' ELSE sec END || '.' || CASE WHEN f = '' THEN '0' ELSE f END AS TIMESTAMP) AS clock,
+  CASE WHEN regexp_full_match(z, '(?:UTC|GMT)?[+-][0-9]{{1,2}}(?::?[0-9]{{2}})?') THEN CASE WHEN contains(z, '-') THEN -1 ELSE 1 END * (regexp_extract(z, '[+-]([0-9]{{1,2}})', 1)::INT * 60 + coalesce(TRY_CAST(regexp_extract(z, '[+-][0-9]{{2}}:?([0-9]{{2}})$', 1) AS INT), TRY_CAST(regexp_extract(z, '[0-9]:([0-9]{{2}})$', 1) AS INT), 0))
+    ELSE CASE z {_ABBREVIATION} END END AS minutes,
+  CASE WHEN z = '' THEN tz WHEN regexp_full_match(z, '\[?[A-Za-z]+/[A-Za-z/_]+\]?') THEN trim(z, '[]') END AS zone
+FROM (SELECT row_id, tz, s, p.y, p.m, p.d, p.h, p.mi, p.sec, p.f, p.ap, trim(p.z) AS z FROM (
+SELECT row_id, tz, s, regexp_extract(iso, '^([0-9]{{4}})[-/]([0-9]{{1,2}}|\p{{L}}+)[-/]([0-9]{{1,2}})(?:(?:T|,? )([0-9]{{1,2}}):([0-9]{{2}})(?::([0-9]{{2}})(?:[.]([0-9]{{1,6}}))?)? ?(AM|PM)?(.*))?$', ['y', 'm', 'd', 'h', 'mi', 'sec', 'f', 'ap', 'z']) AS p FROM (
+SELECT row_id, tz, s, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s,
+  '^([0-9]{{1,2}})[.]([0-9]{{1,2}})[.]([0-9]{{4}})', '\3-\2-\1'), '^([0-9]{{1,2}})[.]([0-9]{{1,2}})[.]([0-9]{{2}})(,| |$)', '20\3-\2-\1\4'), '^(?:\p{{L}}+, )?([0-9]{{1,2}}) (\p{{L}}+) ([0-9]{{4}})', '\3-\2-\1'),
+  '^(\p{{L}}+) ([0-9]{{1,2}}), ([0-9]{{4}})', '\3-\1-\2'), '^([0-9]{{4}})([0-9]{{2}})([0-9]{{2}})T([0-9]{{2}})([0-9]{{2}})([0-9]{{2}})', '\1-\2-\3T\4:\5:\6') AS iso
+FROM (SELECT row_id, trim(date) AS s, tz FROM messages LEFT JOIN (SELECT chat_slug, min(tz_name) AS tz FROM chats GROUP BY 1) USING (chat_slug)))))))"""
 _DAY = "CASE WHEN regexp_matches(trim({0}), '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}$') THEN TRY_CAST(trim({0}) AS DATE) END"
 _ID = r"nullif(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '')"
 _ORPHANS = (
@@ -117,6 +138,7 @@ back AS (SELECT DISTINCT w.at AS id FROM walk w JOIN edges e ON e.id = w.at JOIN
 cycles AS (SELECT w.id, min(w.at) AS root_id FROM walk w JOIN back b ON b.id = w.at GROUP BY 1)
 """
 ORACLE = {
+    "p2_found": f"SELECT row_id, utc_us FROM ({INSTANTS}) WHERE utc_us IS NOT NULL",
     "p1_found": _MESSAGES + "SELECT row_id FROM ranked WHERE rn > 1",
     "p1_kept": _MESSAGES + "SELECT chat_slug, msg_no, row_id FROM ranked WHERE rn = 1",
     "p4_found": _TREE + "SELECT id, root_id, depth FROM down UNION ALL SELECT id, root_id, -1 FROM cycles",

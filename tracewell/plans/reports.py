@@ -10,19 +10,19 @@ from pyspark.sql import functions as F
 from tracewell.functions.keys import message_number
 from tracewell.functions.text import slugify
 from tracewell.operators import archive, ingest, render
-from tracewell.plans.archive import _COLLAPSE, _DATED, _REPLY, AS_OF
+from tracewell.plans.archive import _COLLAPSE, _DATED, _REPLY, AS_OF, _days
 from tracewell.session import table
 
 
 def message_files(spark: SparkSession, d: str) -> DataFrame:
     """File name of each chat's day."""
-    days = ingest.dated(table(spark, d, "messages")).select("chat_slug", ingest.day_of(F.col("date")).alias("day")).distinct()
+    days = _days(spark, d).select("chat_slug", F.coalesce("day", F.lit("undated")).alias("day")).distinct()
     return days.select("chat_slug", "day", render.message_file(F.col("day"), F.col("chat_slug"), F.lit(None).cast("string")).alias("file"))
 
 
 def late_segments(spark: SparkSession, d: str) -> DataFrame:
     """Files for what the odd batches bring after the even ones."""
-    rows = ingest.dated(table(spark, d, "messages")).select("batch_id", "chat_slug", ingest.day_of(F.col("date")).alias("day"))
+    rows = _days(spark, d).select("batch_id", "chat_slug", F.coalesce("day", F.lit("undated")).alias("day"))
     new, old = (rows.where(F.col("batch_id") % 2 == k).select("chat_slug", "day") for k in (1, 0))
     return ingest.segments(new, old, F.lit(AS_OF))
 
@@ -89,12 +89,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _MASKED = "CASE WHEN coalesce(len(redactions), 0) > 0 THEN '[redacted]' ELSE quote END"
 ORACLE = {
     "late_segments": f"""SELECT n.chat_slug, n.day, n.day || '_' || n.chat_slug || CASE WHEN o.day IS NOT NULL THEN '_chat-{AS_OF}' ELSE '' END || '.md' AS file
-FROM (SELECT DISTINCT chat_slug, day FROM ({_DATED}) WHERE batch_id % 2 = 1) n LEFT JOIN (SELECT DISTINCT chat_slug, day FROM ({_DATED}) WHERE batch_id % 2 = 0) o USING (chat_slug, day)""",
+FROM (SELECT DISTINCT chat_slug, coalesce(day, 'undated') AS day FROM ({_DATED}) WHERE batch_id % 2 = 1) n LEFT JOIN (SELECT DISTINCT chat_slug, coalesce(day, 'undated') AS day FROM ({_DATED}) WHERE batch_id % 2 = 0) o USING (chat_slug, day)""",
     "media_links": """SELECT row_id, regexp_extract(media, '([^/]+)$', 1) AS media, (SELECT min(raw_path) FROM items i WHERE i.status = 'present' AND regexp_extract(i.raw_path, '([^/]+)$', 1) = regexp_extract(m.media, '([^/]+)$', 1)) AS path
 FROM messages m WHERE regexp_extract(media, '([^/]+)$', 1) <> ''""",
     "leaked_terms": r"""SELECT DISTINCT d.doc_id AS doc, t.term FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_-]+')) AS w FROM documents) d
 JOIN (SELECT DISTINCT string_split(project, ' ')[1] AS term FROM chats WHERE project IS NOT NULL) t ON lower(t.term) = d.w""",
-    "message_files": f"SELECT DISTINCT chat_slug, day, day || '_' || chat_slug || '.md' AS file FROM ({_DATED})",
+    "message_files": f"SELECT DISTINCT chat_slug, coalesce(day, 'undated') AS day, coalesce(day, 'undated') || '_' || chat_slug || '.md' AS file FROM ({_DATED})",
     "media_notes": """SELECT row_id, 'authorship ' || attribution || CASE WHEN coalesce(shown_as, '') <> '' THEN '; shown as ' || shown_as ELSE '' END
 || CASE WHEN coalesce(via, '') <> '' THEN '; passed on by ' || via ELSE '' END AS note FROM messages WHERE coalesce(attribution, 'reliable') <> 'reliable'""",
     "reply_heads": f"""WITH r AS ({_REPLY}), w AS (SELECT r.row_id, kind, message_id, CASE kind WHEN 'message' THEN CASE WHEN coalesce(t, '') <> '' THEN n ELSE a END WHEN 'external' THEN n END AS name,

@@ -44,11 +44,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder shared by all executors: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a temporary one is made.
+    Only where that is unset and all runs on one machine, as in tests, a temporary one is made.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not hasattr(spark.sparkContext, "_tracewell_folder"):
         folder = tempfile.mkdtemp(prefix="tracewell-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)

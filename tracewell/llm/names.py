@@ -8,7 +8,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Given names with their usual nicknames and Russian spellings.
+#: Given names with their usual nicknames and Russian spellings. A bonus: names that are not here are
+#: compared as words.
 GIVEN = {
     "aleksandr": "alex alexander alexandr sasha sanya александр саша",
     "anastasia": "nastya anastasiya анастасия настя",
@@ -66,6 +67,9 @@ DECORATION = re.compile(r"[\[(][^\])]*[\])]|\s[|–—-]\s.*$|\s\|.*$|[:;]-?[D()
 CAMEL = re.compile(r"(?<=[a-zа-яё])(?=[A-ZА-ЯЁ][a-zа-яё]{2})")
 ACCOUNT = re.compile(r"^(?:@|tg:)|\S@\S|^[a-z0-9._+-]+$")
 WORD = re.compile(r"[^\W\d_]+")
+APOSTROPHE = re.compile(r"(?<=[^\W\d_])['’`](?=[^\W\d_])")
+#: Marks a word that stands for a given name, or a line of business, of the tables: it is that one or none.
+AS_GIVEN, AS_BUSINESS = "=", "+"
 
 
 @lru_cache(maxsize=200_000)
@@ -112,14 +116,11 @@ def likeness(a: str, b: str) -> float:
 def monge_elkan(a: list[str], b: list[str]) -> float:
     """Mean over the words of each name of the best likeness in the other, the smaller of both directions.
 
-    A single letter is as good as a word that begins with it; given names are compared as given names.
+    Words that stand for given names or lines of business of the tables are equal or have nothing in common.
     """
 
     def one(x: str, y: str) -> float:
-        if len(x) == 1 or len(y) == 1:
-            short, long = (x, y) if len(x) == 1 else (y, x)
-            return 1.0 if short in INITIALS.get(long, {long[:1]}) else 0.0
-        return likeness(x, y)
+        return float(x == y) if x[0] in "=+" or y[0] in "=+" else likeness(x, y)
 
     def way(p: list[str], q: list[str]) -> float:
         return sum(max((one(x, y) for y in q), default=0.0) for x in p) / max(1, len(p))
@@ -145,68 +146,75 @@ def account(text: str) -> str:
     return re.sub(r"^(?:mailto:|tg:|@|https?://(?:www\.)?|t\.me/)+", "", t).rstrip("/")
 
 
-def parse(text: str | None) -> tuple[str, str, str]:
-    """(kind, first, last) of a name.
+def parse(text: str | None) -> tuple[str, str, list[str]]:
+    """(kind, first, words) of a name.
 
-    kind is ``person`` (first is a given name or, unknown to the table, a skeleton), ``initial`` (first is a letter),
-    ``org`` (first is the line of business or empty), or ``none`` for blanks, bare first names and single words.
+    kind is ``full`` (words of a person or an organisation, sorted, whatever their order in the text), ``initial`` (first
+    is a letter, words the rest), or ``none`` for blanks, bare first names and single words. Given names and lines of
+    business of the tables stand for all their spellings; beside one, what is left is one word. Legal forms tell
+    nothing, but with one a single word is a full name. Letters between longer words are left out.
     """
+    none = ("none", "", [])
     if not text:
-        return "none", "", ""
+        return none
     t = unicodedata.normalize("NFKC", text)
     if ACCOUNT.search(t.strip()):
-        return "none", "", ""
-    t = CAMEL.sub(" ", DECORATION.sub(" ", t + " ").replace("_", " "))
+        return none
+    t = APOSTROPHE.sub("", CAMEL.sub(" ", DECORATION.sub(" ", t + " ").replace("_", " ")))
     raw = WORD.findall(t)
     legal = any(w.lower() in LEGAL for w in raw)
     words = [w for w in (skeleton(w) for w in raw if w.lower() not in LEGAL) if w]
+    if sum(len(w) > 1 for w in words) > 1:
+        words = [w for w in words if len(w) > 1]
     for i, w in enumerate(words):
         if w in BUSINESS_OF and len(words) > 1 and (len(w) > 3 or len(words) == 2):
-            return "org", BUSINESS_OF[w], "".join(words[:i] + words[i + 1 :])
+            return "full", "", sorted([AS_BUSINESS + BUSINESS_OF[w], "".join(words[:i] + words[i + 1 :])])
     if legal:
-        return "org", "", "".join(words)
+        return ("full", "", sorted(words)) if words else none
     if len(words) == 1:
         w = words[0]
         for v, k in GIVEN_OF.items():
             if len(v) >= 6 and w.startswith(v) and len(w) - len(v) >= 4:
-                return "person", k, w[len(v) :]
-        return "none", "", ""
-    if len(words) < 2 or len(words) > 4:
-        return "none", "", ""
+                return "full", "", sorted([AS_GIVEN + k, w[len(v) :]])
+    if len(words) < 2:
+        return none
     exact = [i for i, w in enumerate(words) if w in GIVEN_OF and len(w) > 1]
     near = exact or [i for i, w in enumerate(words) if given_name(w)]
     if near:
         i = near[0]
-        return "person", given_name(words[i]) or words[i], "".join(words[:i] + words[i + 1 :])
+        return "full", "", sorted([AS_GIVEN + given_name(words[i]), "".join(words[:i] + words[i + 1 :])])
     for i, w in enumerate(words):
         if len(w) == 1 or (len(w) == 2 and i == 0 and w in ("kh", "yu", "ya", "ch", "sh", "zh", "ts")):
             last = "".join(words[:i] + words[i + 1 :])
-            return ("initial", w[0], last) if len(last) > 1 else ("none", "", "")
-    return "person", words[0], "".join(words[1:])
+            return ("initial", w[0], [last]) if len(last) > 1 else none
+    return "full", "", sorted(words)
 
 
-def account_number(acct: str) -> str:
-    """The number an account ends in before its domain; ``+`` after it marks the ways to tell namesakes apart."""
-    m = re.search(r"(\d+)(x|-b)?$", acct.split("@")[0])
-    return (m[1] + ("+" if m[2] else "")) if m else ""
+def letters(words: list[str]) -> list[tuple[str, str]]:
+    """(letter, rest) under which a full name may be shortened to an initial with the rest of it."""
+    given = [w for w in words if w[0] == AS_GIVEN]
+    if any(w[0] == AS_BUSINESS for w in words):
+        return []
+    first = given or words
+    return [(x, "".join(words[:i] + words[i + 1 :])) for i, w in enumerate(words) if w in first and len(words) > 1 for x in sorted(INITIALS[w[1:]] if given else {w[0]})]
 
 
-def number_fits(number: str, known: list[str]) -> bool:
-    """Whether an account with this number may belong to the holder of accounts with ``known`` numbers."""
-    forms = {number, number[:-1] + "2"} if number.endswith("+") else {number, number[:-1] + "+"} if number.endswith("2") else {number}
-    return not known or bool(forms & set(known))
+def digits(acct: str) -> str:
+    """The numbers in an account before its domain."""
+    return " ".join(re.findall(r"\d+", acct.split("@")[0]))
 
 
-def account_names(acct: str) -> list[tuple[str, str]]:
-    """(given name or first letter, last) pairs that an account may be made of."""
-    local = re.sub(r"(?:\d+x?|\d*-b)$", "", acct.split("@")[0])
+def account_names(acct: str) -> tuple[list[str], list[tuple[str, str]]]:
+    """([full name key], [(letter, rest)]) that an account may be made of."""
+    local = re.sub(r"\d+[a-z]?$|-[a-z]$", "", acct.split("@")[0])
     parts = [skeleton(p) for p in re.split(r"[._\-+]+", local) if WORD.fullmatch(p)]
     if len(parts) == 2:
-        return [(GIVEN_OF.get(a, a[0]), b) for a, b in (parts, parts[::-1])]
+        keys = ["|".join(sorted([AS_GIVEN + GIVEN_OF[a], b])) if a in GIVEN_OF else "|".join(sorted([a, b])) for a, b in (parts, parts[::-1])]
+        return keys, [(a[0], b) for a, b in (parts, parts[::-1]) if a not in GIVEN_OF]
     if len(parts) == 1 and len(parts[0]) > 4:
         p = parts[0]
-        return [(p[0], p[1:]), (p[-1], p[:-1])]
-    return []
+        return [], [(p[0], p[1:]), (p[-1], p[:-1])]
+    return [], []
 
 
 def bands_for(recall: float, likeness_at: float, rows: int) -> int:
@@ -214,17 +222,30 @@ def bands_for(recall: float, likeness_at: float, rows: int) -> int:
     return int(np.ceil(np.log(1 - recall) / np.log(1 - likeness_at**rows)))
 
 
-def minhash(last: str, bands: int, rows: int, q: int = 2) -> list[int]:
-    """A hash per band over the padded q-grams of a word."""
-    padded = "^" * (q - 1) + last + "$" * (q - 1)
-    codes = np.array([hash_gram(padded[i : i + q]) for i in range(len(padded) - q + 1)], dtype=np.uint64)
+def grams(word: str) -> set[str]:
+    """Padded pairs of neighbouring letters, in either order: two letters that are swapped change two of them only."""
+    padded = f"^{word}$"
+    return {min(x, y) + max(x, y) for x, y in zip(padded, padded[1:])}
+
+
+def letter_set(word: str) -> int:
+    """A bit for each letter of a word; letters may share one."""
+    bits = 0
+    for c in word:
+        bits |= 1 << ord(c) % 63
+    return bits
+
+
+def minhash(word: str, bands: int, rows: int) -> list[int]:
+    """A hash per band, of the band and its hashes, over the :func:`grams` of a word."""
+    codes = np.array([hash_gram(g) for g in grams(word)], dtype=np.uint64)
     k = np.arange(1, bands * rows + 1, dtype=np.uint64)
     mixed = (codes[:, None] ^ (k * np.uint64(0x9E3779B97F4A7C15))[None, :]) * np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(31)
     mixed *= np.uint64(0x94D049BB133111EB)
     mixed ^= mixed >> np.uint64(29)
     low = mixed.min(axis=0).reshape(bands, rows)
-    h = np.zeros(bands, dtype=np.uint64)
+    h = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for r in range(rows):
         h = (h ^ low[:, r]) * np.uint64(0x100000001B3)
     return h.astype(np.int64).tolist()

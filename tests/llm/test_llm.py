@@ -66,9 +66,10 @@ def test_recall_of_names_off_the_list(spark):
     people_ = [[r.choice(firsts), word()] for _ in range(500)]
     texts = [x for p in people_ for x in (p, [misspelt(r, p[0]), p[1]], [p[1], misspelt(r, p[0])] if r.random() < 0.5 else [misspelt(r, p[1]), p[0]], [misspelt(r, p[0]), misspelt(r, p[1])])]
     keys = sorted({"|".join(names.parse(" ".join(x))[2]) for x in texts})
-    df = spark.createDataFrame([(k, k.split("|")) for k in keys], "key string, words array<string>")
-    words = linkage._words(df).withColumn("common", F.lit(False))
-    got = {(x.key, x.near) for x in linkage.near_keys(df, df, linkage.near_words(words, words)).collect()}
+    df = spark.createDataFrame([(k, k.split("|"), True) for k in keys], "key string, words array<string>, listed boolean")
+    near = linkage.near_words(linkage._words(df).withColumn("common", F.lit(False)))
+    near = near.select("word", "near").unionByName(near.select(F.col("near").alias("word"), F.col("word").alias("near")))
+    got = {(x.key, x.near) for x in linkage.near_keys(df, near).collect()}
     alike = lambda a, b: names.likeness(a, b) >= linkage.LEAST_WORD
     listed = [k.split("|") for k in keys]
     every = set()
@@ -92,12 +93,13 @@ def test_linkage_off_the_list(spark):
         (("a1", "Jonathan Miller"), None, {"email": "j@x.test"}), (("a2", "Miller Jonathan"), [], None), (("a3", "Jonathon Miller"), None, None), (("b1", "Marianne Miller"), None, None), (("c1", "Maria del Carmen Garcia Lopez"), None, None),
         (("c2", "Garcia Lopez, Maria del Carmen"), None, None), (("d1", "Robert Kim"), None, None), (("d2", "Kim Robert"), None, None), (("e1", "Foo Bakery Ltd"), None, None), (("e2", "Foo Bakery"), None, None),
     ]
-    members, *parts = linkage.entities(people(spark, data))
+    df = people(spark, data)
+    members = linkage.entities(df)[0]
     assert {(r.left_key, r.right_key) for r in linkage.link_people(members).collect()} == {("a1", "a2"), ("a1", "a3"), ("a2", "a3"), ("c1", "c2"), ("d1", "d2"), ("e1", "e2")}
     authors = spark.createDataFrame([(x,) for x in ("Jonathan Millre", "J. Miller", "Miler J.", "jonathan.miller", "Marianne Miller", "Kim, Robert", "Jonas Miller")], "author string")
     got = defaultdict(set)
-    for r in linkage.link_authors(authors, members, *parts).collect():
-        got[r.author].add(r.id)
+    for r in linkage.links(df, authors).where("kind = 'author'").collect():
+        got[r.left_key].add(r.right_key)
     one = {"a1", "a2", "a3"}
     assert got == {"Jonathan Millre": one, "J. Miller": one, "Miler J.": one, "jonathan.miller": one, "Marianne Miller": {"b1"}, "Kim, Robert": {"d1", "d2"}}
 
@@ -135,13 +137,13 @@ def test_linkage(spark):
         (("p7", "Gaboditse Trd."), None, None), (("p8", None), None, None), (("p9", "X."), None, {"email": "R.Z@X.TEST"}), (("p9", "X."), None, {"email": "R.Z@X.TEST"}), (("q1", "Kolya"), None, None), (("q2", "Kolya"), None, None),
     ]
     df = people(spark, data)
-    members, centres, spelled, accounts = linkage.entities(df)
+    members = linkage.entities(df)[0]
     pairs = {(r.left_key, r.right_key) for r in linkage.link_people(members).collect()}
     assert pairs == {("p1", "p2"), ("p1", "p3"), ("p1", "p9"), ("p2", "p3"), ("p2", "p9"), ("p3", "p9"), ("p6", "p7")}
     authors = ["Роберт Зескуфоска", "@rzes", "tg:rzes5x", "N. Zeskufoska", "Nikolai Zeskufoskka", "GABODITSE TRADING", "Deleted Account", "Kolya", "Robert Unknownovich", "", None, "nikolai.zeskufoska"]
     got = defaultdict(set)
-    for r in linkage.link_authors(spark.createDataFrame([(a, 1) for a in authors], "author string, id int"), members, centres, spelled, accounts).collect():
-        got[r.author].add(r.id)
+    for r in linkage.links(df, spark.createDataFrame([(a, 1) for a in authors], "author string, id int")).where("kind = 'author'").collect():
+        got[r.left_key].add(r.right_key)
     one, two = {"p1", "p2", "p3", "p9"}, {"p4"}
     assert got == {"Роберт Зескуфоска": one | two, "@rzes": one, "tg:rzes5x": two, "N. Zeskufoska": {"p5"}, "Nikolai Zeskufoskka": {"p5"}, "GABODITSE TRADING": {"p6", "p7"}, "nikolai.zeskufoska": {"p5"}}
 
@@ -150,12 +152,13 @@ def test_many_namesakes(spark):
     """Twelve holders of one name: the rows of each are one, also of those that come last."""
     data = [(f"{i:02}{c}", "Robert Zeskufoska", [], h) for i in range(11) for c, h in (("a", {"email": f"r{i}@x.test", "telegram": f"rzes{i}"}), ("b", {"telegram": f"@Rzes{i}"}), ("c", {"email": f"R{i}@x.test", "site": f"z{i}.example"}))]
     data += [("11a", "Robert Zeskufoska", [], {"email": "r11@x.test"}), ("11b", "Zeskufoska, Robert", [], {"telegram": "rzes11"})]
-    members, centres, spelled, accounts = linkage.entities(people(spark, [((i, d), a, h) for i, d, a, h in data]))
+    df = people(spark, [((i, d), a, h) for i, d, a, h in data])
+    members = linkage.entities(df)[0]
     assert len({r.id for r in members.collect()}) == members.count() == len(data)
     pairs = {(r.left_key, r.right_key) for r in linkage.link_people(members).collect()}
     assert pairs == {(f"{i:02}{x}", f"{i:02}{y}") for i in range(12) for x, y in ("ab", "ac", "bc") if i < 11 or y == "b"}
     authors = spark.createDataFrame([("rzes11",), ("rzes3",)], "author string")
-    got = {(r.author, r.id) for r in linkage.link_authors(authors, members, centres, spelled, accounts).collect()}
+    got = {(r.left_key, r.right_key) for r in linkage.links(df, authors).where("kind = 'author'").collect()}
     assert got == {("rzes11", "11a"), ("rzes11", "11b")} | {("rzes3", f"03{c}") for c in "abc"}
 
 

@@ -27,13 +27,13 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Every place of personal information in messages and quotes."""
-    return pii.places(_texts(spark, d))
+    return pii.places(_texts(spark, d), table(spark, d, "people"))
 
 
 def p5_sanitised(spark: SparkSession, d: str) -> DataFrame:
     """Messages and quotes with placeholders."""
     texts = _texts(spark, d)
-    return pii.replace(texts, pii.places(texts))
+    return pii.replace(texts, pii.places(texts, table(spark, d, "people")))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -407,7 +407,7 @@ def test_leaks(spark):
     items = spark.createDataFrame(ITEMS + [(9, ITEMS[0][1])], "item_id long, prompt string").withColumn("text", F.lit("clash"))
     got = sorted((r.doc_id, r.item_id) for r in leakage.leaks(df, items).collect())
     n = len(good) + len(other)
-    assert got == sorted([(i, k) for i in [*range(len(good)), n + 2] for k in (1, 9)] + [(n, 2), (n, 3), (n + 1, 3)])
+    assert got == sorted([(i, k) for i in [*range(len(good)), n + 2] for k in (1, 9)] + [(n, 2), (n, 3), (n + 1, 3)])
     assert leakage.leaks(df.limit(0), items).count() == 0 and leakage.leaks(df, items.limit(0)).count() == 0
 
 
@@ -436,12 +436,18 @@ def test_leaks_of_shared_prompts(spark):
     assert got == {(i // 20, i) for i in range(60)}
 
 
-def test_leaks_in_blocks(spark, monkeypatch):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(variants())], "doc_id long, text string")
-    items = spark.createDataFrame(ITEMS, "item_id long, prompt string")
-    whole = sorted(map(tuple, leakage.leaks(df, items).collect()))
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 1)
-    assert {d for d, _ in whole} == {r.doc_id for r in leakage.leaks(df, items).collect()}
+def test_leaks_do_not_depend_on_the_spread(spark, monkeypatch):
+    """The same pairs, however items and documents are spread over tasks, and without anything sent to every task."""
+    items = pq.read_table(f"{DATA}/eval_items.parquet").select(["item_id", "prompt"]).to_pandas()
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(variants())], "doc_id long, text string"))
+    items = spark.createDataFrame(items).unionByName(spark.createDataFrame(ITEMS, "item_id long, prompt string"))
+    whole = sorted(map(tuple, leakage.leaks(docs.coalesce(1), items.coalesce(1)).collect()))
+    assert len(whole) >= len(variants())
+    for parts in (2, 40):
+        assert sorted(map(tuple, leakage.leaks(docs.repartition(3), items.repartition(parts)).collect())) == whole
+    for name in ("SEEDS_AT_ONCE", "ITEMS_AT_ONCE", "DOCS_AT_ONCE"):
+        monkeypatch.setattr(leakage, name, 0)
+    assert sorted(map(tuple, leakage.leaks(docs, items).collect())) == whole
 
 
 # --- reading level (problem 10)

@@ -338,10 +338,31 @@ def test_plan_uses_everything_once(counts):
 
 
 def test_exact_complement():
-    left = np.zeros(101, dtype=np.int64)
-    left[[7, 20, 30]] = [1, 2, 1]
-    assert packing.exact_complement(left, 30) == [30] and sorted(packing.exact_complement(left, 40)) == [20, 20]
-    assert sorted(packing.exact_complement(left, 57)) == [7, 20, 30] and packing.exact_complement(left, 14) is None
+    have = packing.Lengths({7: 1, 20: 2, 30: 1}, 100)
+    assert have.exact(30) == [30] and have.exact(40) == [20, 20] and sorted(have.exact(57)) == [7, 20, 30] and have.exact(14) is None and have.exact(60) is None
+    assert have.longest(29) == 20 and have.longest(6) == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 3), max_size=12), st.integers(1, 60))
+def test_exact_complements_against_brute_force(counts, gap):
+    """A combination of one, two or three is found if there is one."""
+    from itertools import combinations
+
+    pieces_ = [k for k, n in counts.items() for _ in range(n)]
+    found = packing.Lengths(counts, 60).exact(gap)
+    assert (found is not None) == any(sum(c) == gap for m in (1, 2, 3) for c in combinations(pieces_, m))
+    assert found is None or sum(found) == gap and all(found.count(k) <= counts[k] for k in found)
+
+
+def test_large_windows():
+    """All lengths up to 131,072 are planned in seconds."""
+    import time
+
+    r, began = random.Random(1), time.time()
+    windows = packing.plan({k: r.choice([1, 1, 2, 5]) for k in range(1, 131_073)}, 131_072)
+    used = sum(k * n * t for lengths, t in windows for k, n in lengths.items())
+    assert time.time() - began < 60 and used / (131_072 * sum(t for _, t in windows)) > 0.99
 
 
 def test_pack(spark):

@@ -204,8 +204,8 @@ def told_words(classes: DataFrame) -> DataFrame:
     known = runs.join(first, "run").where("_first < class").select("class", F.explode(F.sequence(F.col("p"), F.col("p") + PASSAGE - 1)).alias("p")).distinct()
     each = checkpoint(classes.select("class", "times", F.posexplode("words").alias("p", "word")))
     fresh = each.join(known.withColumn("_known", F.lit(True)), ["class", "p"], "left").groupBy("class", "word").agg(F.max("times").alias("times"), F.max(F.col("_known").isNull()).alias("fresh"))
-    totals = classes.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("_items"), F.count("*").alias("_prompts"))
-    counts = fresh.groupBy("word").agg(F.sum("times").alias("n"), F.count_if("fresh").alias("once")).join(F.broadcast(totals))  # one row
+    totals = classes.agg(F.lit(1).alias("_one"), F.coalesce(F.sum("times"), F.lit(0)).alias("_items"), F.count("*").alias("_prompts"))
+    counts = fresh.groupBy("word").agg(F.sum("times").alias("n"), F.count_if("fresh").alias("once"), F.lit(1).alias("_one")).join(F.broadcast(totals), "_one")  # one row
     few = (F.col("n") <= F.greatest(F.lit(float(TELLING_LEAST)), TELLING_SHARE * F.col("_items"))) | (F.col("once") <= F.greatest(F.lit(1.0), TELLING_SHARE * F.col("_prompts")))
     figure = F.regexp_like("word", F.lit(r"\p{Nd}"))
     judged = counts.select("word", (few | figure).alias("telling"), (few & ~figure).alias("rare"))

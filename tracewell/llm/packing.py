@@ -1,17 +1,19 @@
 """Filling fixed-capacity windows with texts: exact-complement hashing over the histogram of lengths.
 
 Windows are planned on counts per length, never on texts: a capacity of C has at most C lengths, whatever the corpus
-holds. A window is opened with the longest length left and filled greedily until the gap may be closed exactly. Sums of
-one, two and three available lengths are indexed by hash; a combination that exactly fills the gap is consumed, as often
-as the counts allow at once. Where no combination fills it, the best fit takes the residue. The plan (at most a few
-rows per length) goes back to the texts through each text's number within its length.
+holds. A window is opened with the longest length left and filled greedily until the gap may be closed exactly. The
+lengths that are available are an index of bits, once forwards and once backwards: both laid over each other at a gap
+show every pair that fills it, and for each first part of a triple every pair that fills the rest. A combination that
+exactly fills the gap is consumed, as often as the counts allow at once. Where no combination fills it, the best fit
+takes the residue. Each kind of window is planned in a task of its own; the plan (at most a few rows per length) goes
+back to the texts through each text's number within its length.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 
-import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,31 +32,61 @@ PLAN = T.StructType(
 )
 #: Kinds of windows that are filled at once; more are refused.
 MOST_WINDOWS = 1_000
-#: Lengths tried as first part of a triple sum at most; more cannot make a window emptier than the best fit leaves it.
-TRIPLE_HEADS = 64
-
-
-def exact_complement(left: np.ndarray, gap: int) -> list[int] | None:
-    """One, two or three available lengths (counts in ``left``) whose sum is exactly ``gap``."""
-    if left[gap] > 0:
-        return [gap]
-    have = np.flatnonzero(left[: gap + 1] > 0)
-    if not len(have):
+#: Numbers of one length that are held against the ranges of the plan together.
+RANGE_BUCKET = 1_024
+
+
+class Lengths:
+    """Counts of lengths from 1 to ``most``, with an index of those that are available."""
+
+    def __init__(self, counts: dict[int, int], most: int) -> None:
+        self.left, self.most = {k: n for k, n in counts.items() if n > 0}, most
+        forth, back = bytearray(most // 8 + 1), bytearray(most // 8 + 1)
+        for k in self.left:
+            forth[k >> 3] |= 1 << (k & 7)
+            back[most - k >> 3] |= 1 << (most - k & 7)
+        self.forth, self.back = int.from_bytes(forth, "little"), int.from_bytes(back, "little")
+        self.items, self.total = sum(self.left.values()), sum(k * n for k, n in self.left.items())
+
+    def take(self, k: int, n: int = 1) -> None:
+        self.left[k] -= n
+        self.items -= n
+        self.total -= n * k
+        if not self.left[k]:
+            self._flip(k)
+
+    def _flip(self, k: int) -> None:
+        self.forth ^= 1 << k
+        self.back ^= 1 << self.most - k
+
+    def longest(self, gap: int) -> int:
+        """The longest available length of at most ``gap``; 0 if there is none."""
+        return max(0, (self.forth & (1 << gap + 1) - 1).bit_length() - 1)
+
+    def pair(self, gap: int) -> list[int] | None:
+        both = self.forth & self.back >> self.most - gap
+        if not gap & 1 and both >> gap // 2 & 1 and self.left[gap // 2] < 2:
+            both ^= 1 << gap // 2
+        return [a := both.bit_length() - 1, gap - a] if both else None
+
+    def exact(self, gap: int) -> list[int] | None:
+        """One, two or three available lengths whose sum is exactly ``gap``."""
+        if self.left.get(gap):
+            return [gap]
+        if found := self.pair(gap):
+            return found
+        a = gap
+        while 3 * (a := self.longest(a - 1)) >= gap:  # the longest of three is at least a third
+            if last := self.left[a] == 1:
+                self._flip(a)
+            self.left[a] -= 1
+            found = self.pair(gap - a)
+            self.left[a] += 1
+            if last:
+                self._flip(a)
+            if found:
+                return [a, *found]
         return None
-    there = left[: gap + 1] > 0
-    pairs = have[there[gap - have]]
-    pairs = pairs[(2 * pairs != gap) | (left[pairs] > 1)]
-    if len(pairs):
-        return [int(pairs[-1]), int(gap - pairs[-1])]
-    for a in have[::-1][:TRIPLE_HEADS]:
-        rest = gap - a
-        two = have[have <= rest]
-        two = two[there[rest - two]]
-        for b in two[::-1]:
-            three = Counter([int(a), int(b), int(rest - b)])
-            if all(left[k] >= n for k, n in three.items()):
-                return list(three.elements())
-    return None
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -62,34 +94,28 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], in
 
     Lengths are from 1 to ``capacity``. The work depends on the number of different lengths, not on the counts.
     """
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in counts.items():
-        left[length] += n
-    out = []
-    while len(have := np.flatnonzero(left)):
-        longest = int(have[-1])
+    have, out = Lengths(counts, capacity), []
+    while longest := have.longest(capacity):
+        typical = max(1, have.total // have.items)
         used: Counter[int] = Counter({longest: 1})
-        left[longest] -= 1
+        have.take(longest)
         gap = capacity - longest
-        typical = max(1, int((have * left[have]).sum() // max(1, left[have].sum())))
         while gap:
-            if gap <= 4 * typical and (found := exact_complement(left, gap)):
+            if gap <= 4 * typical and (found := have.exact(gap)):
                 for k in found:
                     used[k] += 1
-                    left[k] -= 1
-                gap = 0
+                    have.take(k)
                 break
-            fits = np.flatnonzero(left[: gap + 1])
-            if not len(fits):
+            if not (k := have.longest(gap)):
                 break
-            k = int(fits[-1])
-            many = min(int(left[k]), max(1, (gap - 3 * typical) // k)) if gap > 4 * typical else 1
+            many = min(have.left[k], max(1, (gap - 3 * typical) // k)) if gap > 4 * typical else 1
             used[k] += many
-            left[k] -= many
+            have.take(k, many)
             gap -= k * many
-        again = min(int(left[k]) // n for k, n in used.items())
+        again = min(have.left[k] // n for k, n in used.items())
         for k, n in used.items():
-            left[k] -= n * again
+            if again:
+                have.take(k, n * again)
         out.append((dict(used), again + 1))
     return out
 
@@ -131,16 +157,18 @@ def pack(lengths: DataFrame, windows: DataFrame) -> DataFrame:
     Windows are numbered from 0 per window_name. Ties between texts of one length are settled by id. An id that is
     repeated counts as often as it occurs.
     """
-    spark = lengths.sparkSession
     placed = positions(pieces(checkpoint(lengths), windows), ["window_name", "length"], ["id", "piece"], "number")
     placed = checkpoint(placed)
     histogram = placed.groupBy("window_name", "capacity", "length").agg(F.count("*").alias("n"))
-    by_window: dict[tuple[str, int], dict[int, int]] = {}
-    for r in histogram.toLocalIterator():  # at most one row per length up to the capacity
-        by_window.setdefault((r.window_name, r.capacity), {})[r.length] = r.n
-    rows = [row for (name, capacity), counts in by_window.items() for row in plan_rows(name, plan(counts, capacity))]
-    plans = spark.createDataFrame(rows, PLAN).withColumnsRenamed({"window_name": "_w", "length": "_l"})
-    here = (F.col("window_name") == F.col("_w")) & (F.col("length") == F.col("_l")) & F.col("number").between(F.col("first"), F.col("last"))
+
+    def planned(rows: pd.DataFrame) -> pd.DataFrame:  # at most one row per length up to the capacity
+        windows = plan(dict(zip(rows["length"].tolist(), rows["n"].tolist())), int(rows["capacity"].iloc[0]))
+        return pd.DataFrame(plan_rows(rows["window_name"].iloc[0], windows), columns=PLAN.names)
+
+    plans = checkpoint(histogram.groupBy("window_name", "capacity").applyInPandas(planned, PLAN))
+    bucket = lambda c: F.floor(F.col(c) / RANGE_BUCKET)
+    plans = plans.select(F.col("window_name").alias("_w"), F.col("length").alias("_l"), "first", "last", "bin", F.explode(F.sequence(bucket("first"), bucket("last"))).alias("_b"))
+    here = (F.col("window_name") == F.col("_w")) & (F.col("length") == F.col("_l")) & (bucket("number") == F.col("_b")) & F.col("number").between(F.col("first"), F.col("last"))
     return placed.join(plans, here).select(
         "window_name", (F.col("bin") + F.col("number") - F.col("first")).alias("window_no"), "id", "piece", "start", "length"
     )

@@ -1,9 +1,9 @@
 """Parent-child links to full hierarchies.
 
 Every node has at most one parent. Leaves are peeled first: after m steps upwards only nodes with m generations below
-them are still hit, so the image of the m-step map is what m rounds of peeling leave. Steps are doubled each round; what
-no round can peel is on a cycle. The rest is a forest. Its Euler tour (entry and exit of each node) is one linked list
-per tree, ranked by pointer doubling: the distance to the end gives entry and exit positions, the sum of +1 per entry
+them are still hit, so the image of the m-step map is what m rounds of peeling leave. Steps grow fourfold each round;
+what no round can peel is on a cycle. The rest is a forest. Its Euler tour (entry and exit of each node) is one linked list
+per tree, ranked by pointer jumping: the distance to the end gives entry and exit positions, the sum of +1 per entry
 and -1 per exit gives depths, the end itself names the root. Interval containment is then ancestry.
 
 Rounds are logarithmic in the longest line or the largest tree; each is one equi-join, written to the shared folder.
@@ -14,12 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.session import checkpoint, release
+from tracewell.session import checkpoint, checkpoint_counting, release
 
 #: Brothers are ordered inside this many parts, so that no node's children are sorted in one task.
 SIBLING_PARTS = 64
-#: 2^62 elements are more than any table has.
-MOST_ROUNDS = 62
+#: Joins in a round: each element is moved so many times as far as its target, so a round quadruples the distance.
+LEAPS = 3
+#: 4^31 elements are more than any table has.
+MOST_ROUNDS = 31
 
 
 def links(df: DataFrame, node: Column, parent: Column) -> DataFrame:
@@ -48,8 +50,11 @@ def peel(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         if left == 0 or left == before:
             break
         before = left
-        far = jump.select(F.col("id").alias("_at"), F.col("hit").alias("_far"))
-        new = checkpoint(jump.join(far, F.col("hit") == F.col("_at")).select("id", F.col("_far").alias("hit")))
+        new = jump
+        for _ in range(LEAPS):
+            far = jump.select(F.col("id").alias("_at"), F.col("hit").alias("_far"))
+            new = new.join(far, F.col("hit") == F.col("_at")).select("id", F.col("_far").alias("hit"))
+        new = checkpoint(new)
         release(jump)
         jump = new
     on_cycle = jump.select(F.col("hit").alias("_on")).distinct()
@@ -57,16 +62,18 @@ def peel(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def cycle_names(cycles: DataFrame) -> DataFrame:
-    """(id, cycle): the smallest id on each node's cycle, by doubling."""
+    """(id, cycle): the smallest id on each node's cycle, by jumping."""
     state = checkpoint(cycles.select("id", F.col("parent").alias("hit"), F.least("id", "parent").alias("cycle")))
     for _ in range(MOST_ROUNDS):
-        far = state.select(F.col("id").alias("_at"), F.col("hit").alias("_far"), F.col("cycle").alias("_low"))
-        new = state.join(far, F.col("hit") == F.col("_at")).select(
-            "id", F.col("_far").alias("hit"), F.least("cycle", "_low").alias("cycle"), (F.col("_low") < F.col("cycle")).alias("_new")
-        )
-        new = checkpoint(new)
+        new = state.withColumn("_new", F.lit(False))
+        for _ in range(LEAPS):
+            far = state.select(F.col("id").alias("_at"), F.col("hit").alias("_far"), F.col("cycle").alias("_low"))
+            new = new.join(far, F.col("hit") == F.col("_at")).select(
+                "id", F.col("_far").alias("hit"), F.least("cycle", "_low").alias("cycle"), (F.col("_new") | (F.col("_low") < F.col("cycle"))).alias("_new")
+            )
+        new, changed = checkpoint_counting(new, F.col("_new"))
         state = new.drop("_new")
-        if new.where("_new").isEmpty():
+        if not changed:
             break
     return state.select("id", "cycle")
 
@@ -98,23 +105,26 @@ def euler_tour(forest: DataFrame) -> DataFrame:
 
 
 def rank_list(tour: DataFrame) -> DataFrame:
-    """(element, rank, total, end): elements from here to the end, the sum of their steps, and the last one."""
+    """(element, rank, total, end): elements from here to the end, the sum of their steps, and the last one.
+
+    A round writes the elements that have not reached their end only; those that have stay where they were written.
+    """
     state = tour.select("element", "next", F.lit(1).cast("long").alias("rank"), F.col("step").cast("long").alias("total"), F.col("element").alias("end"))
-    state = checkpoint(state)
-    for _ in range(MOST_ROUNDS):
-        open_ = state.where("next is not null")
-        if open_.isEmpty():
-            break
-        ahead = state.select(
+    whole, left = checkpoint_counting(state, F.col("next").isNotNull())
+    done, open_ = whole.where("next is null"), whole.where("next is not null")
+    while left:
+        ahead = done.unionByName(open_).select(
             F.col("element").alias("_at"), F.col("next").alias("_next"), F.col("rank").alias("_rank"), F.col("total").alias("_total"), F.col("end").alias("_end")
         )
-        moved = open_.join(ahead, F.col("next") == F.col("_at")).select(
-            "element", F.col("_next").alias("next"), (F.col("rank") + F.col("_rank")).alias("rank"), (F.col("total") + F.col("_total")).alias("total"), F.col("_end").alias("end")
-        )
-        new = checkpoint(moved.unionByName(state.where("next is null")))
-        release(state)
-        state = new
-    return state.drop("next")
+        moved = open_
+        for _ in range(LEAPS):
+            zero = F.lit(0).cast("long")
+            moved = moved.join(ahead, F.col("next") == F.col("_at"), "left").select(
+                "element", F.col("_next").alias("next"), (F.col("rank") + F.coalesce("_rank", zero)).alias("rank"), (F.col("total") + F.coalesce("_total", zero)).alias("total"), F.coalesce("_end", "end").alias("end")
+            )
+        moved, left = checkpoint_counting(moved, F.col("next").isNotNull())
+        done, open_ = done.unionByName(moved.where("next is null")), moved.where("next is not null")
+    return done.drop("next")
 
 
 def hierarchy(nodes: DataFrame) -> DataFrame:
@@ -164,17 +174,17 @@ def paths(tree: DataFrame) -> DataFrame:
 
     Half paths are joined end to start, so the rounds are logarithmic; the result is as long as the sum of all depths.
     """
-    state = checkpoint(tree.where("depth >= 0").select("id", F.col("parent").alias("top"), F.array("id").alias("path")))
-    for _ in range(MOST_ROUNDS):
-        open_ = state.where("top is not null")
-        if open_.isEmpty():
-            break
-        upper = state.select(F.col("id").alias("_at"), F.col("top").alias("_top"), F.col("path").alias("_path"))
-        moved = open_.join(upper, F.col("top") == F.col("_at")).select("id", F.col("_top").alias("top"), F.concat("_path", "path").alias("path"))
-        new = checkpoint(moved.unionByName(state.where("top is null")))
-        release(state)
-        state = new
-    return state.select("id", "path")
+    state = tree.where("depth >= 0").select("id", F.col("parent").alias("top"), F.array("id").alias("path"))
+    state, left = checkpoint_counting(state, F.col("top").isNotNull())
+    done, open_ = state.where("top is null"), state.where("top is not null")
+    while left:
+        upper = done.unionByName(open_).select(F.col("id").alias("_at"), F.col("top").alias("_top"), F.col("path").alias("_path"))
+        moved = open_
+        for _ in range(LEAPS):
+            moved = moved.join(upper, F.col("top") == F.col("_at"), "left").select("id", F.col("_top").alias("top"), F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path"))
+        moved, left = checkpoint_counting(moved, F.col("top").isNotNull())
+        done, open_ = done.unionByName(moved.where("top is null")), moved.where("top is not null")
+    return done.select("id", "path")
 
 
 def descendants(tree_paths: DataFrame) -> DataFrame:
@@ -192,17 +202,15 @@ def climb(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     the one before; a round that releases nothing is the last, since levels have no gaps.
     """
     state = edges.select("id", F.col("parent").alias("root"), F.lit(1).cast("int").alias("level"), F.lit(True).alias("open"))
-    state = checkpoint(state)
-    left = state.count()
+    state, left = checkpoint_counting(state, F.col("open"))
+    done, open_ = state.where("not open"), state.where("open")
     while left:
-        ahead = state.select(F.col("id").alias("_at"), F.col("root").alias("_root"), F.col("level").alias("_level"), F.col("open").alias("_open"))
-        moved = state.where("open").join(ahead, F.col("root") == F.col("_at"), "left").select(
+        ahead = done.unionByName(open_).select(F.col("id").alias("_at"), F.col("root").alias("_root"), F.col("level").alias("_level"), F.col("open").alias("_open"))
+        moved = open_.join(ahead, F.col("root") == F.col("_at"), "left").select(
             "id", F.coalesce("_root", "root").alias("root"), (F.col("level") + F.coalesce("_level", F.lit(0))).alias("level"), F.coalesce("_open", F.lit(False)).alias("open")
         )
-        new = checkpoint(moved.unionByName(state.where("not open")))
-        release(state)
-        state, before = new, left
-        left = state.where("open").count()
+        moved, now = checkpoint_counting(moved, F.col("open"))
+        done, open_, before, left = done.unionByName(moved.where("not open")), moved.where("open"), left, now
         if left == before:
             break
-    return state.where("not open").drop("open"), state.where("open").select("id")
+    return done.drop("open"), open_.select("id")

@@ -9,7 +9,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,6 +71,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def checkpoint_counting(df: DataFrame, what: Column) -> tuple[DataFrame, int]:
+    """:func:`checkpoint`, and in how many rows ``what`` is true, counted while they are written."""
+    seen = Observation()
+    out = checkpoint(df.observe(seen, F.count_if(what).alias("n")))
+    return out, seen.get["n"]
+
+
 def release(df: DataFrame) -> None:
     """Remove the table behind :func:`checkpoint` once nothing that is still to run reads it."""
     path = getattr(df, "_tracewell_path", None)

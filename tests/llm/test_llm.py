@@ -319,7 +319,20 @@ def test_roles_and_alternation(spark):
     turns = spark.createDataFrame([("a", 1, n, t, w) for n, t, w in ((1, 1, "Ann"), (2, 2, "ann "), (3, 3, "Bob"), (4, 4, None))], "chat_slug string, root_no long, msg_no long, turn long, author string")
     staff = spark.createDataFrame([("p2", "Ann", "client", None, None), ("p1", "x", "self", ["ANN"], {"a": "b"})], "id string, display string, role string, aliases array<string>, handles map<string,string>")
     assert [r.role for r in conversations.with_roles(turns, staff).orderBy("turn").collect()] == ["self", "self", None, None]
-    assert tuple(conversations.alternation(turns).first())[2:] == (4, 3, 3)
+    links = spark.createDataFrame([("Bob", "p2"), ("Ann", "p2")], "author string, id string")
+    rows = conversations.with_roles(turns, staff, links).orderBy("turn")
+    assert [r.role for r in rows.collect()] == ["client", "self", "client", None]
+    assert tuple(conversations.alternation(rows).first())[2:] == (4, 3, 3, 3)
+
+
+def test_cycles_of_replies(spark):
+    """Messages on a cycle, and those that answer one, are reported and belong to no conversation."""
+    up = {1: None, 2: 1, 3: 2, 10: 11, 11: 12, 12: 10, 13: 10, 14: 13, 20: 20, 30: 99}
+    rows = [(n, "a", str(n), None if u is None else str(u), "2024-01-05", "AB"[n % 2], "x", T0, "r", 0) for n, u in up.items()]
+    df = spark.createDataFrame(rows, MESSAGES)
+    assert {(r.msg_no, r.reply_no) for r in conversations.endless_rows(df).collect()} == {(n, up[n]) for n in (10, 11, 12, 13, 14, 20)}
+    chats = spark.createDataFrame([("a", "UTC")], "chat_slug string, tz_name string")
+    assert {r.msg_no for r in conversations.conversation_rows(df, chats).collect()} == {1, 2, 3}
 
 
 # --- packing (problem 8)

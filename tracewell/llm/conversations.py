@@ -21,6 +21,25 @@ from tracewell.session import checkpoint
 NOBODY = "Deleted Account"
 
 
+def reply_graph(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kept, ended, endless): kept rows with reply_no, has_reply, has_text; (id, root, level) of the replies whose line
+    ends, by row_id; (id) of those on a cycle of replies, or whose line runs into one."""
+    has_reply = F.coalesce(strip(F.col("reply_to")) != "", F.lit(False)).alias("has_reply")
+    has_text = F.coalesce(strip(F.col("text")) != "", F.lit(False)).alias("has_text")
+    kept = kept_rows(messages, message_number(F.col("reply_to")).alias("reply_no"), has_reply, has_text)
+    kept = checkpoint(kept.where("chat_slug is not null").drop("received_at"))
+    parents = kept.select("chat_slug", F.col("msg_no").alias("reply_no"), F.col("row_id").alias("parent"))
+    replies = kept.where("reply_no is not null").select("chat_slug", "reply_no", F.col("row_id").alias("id"))
+    return kept, *climb(replies.join(parents, ["chat_slug", "reply_no"]).select("id", "parent"))
+
+
+def endless_rows(messages: DataFrame) -> DataFrame:
+    """(chat_slug, msg_no, reply_no) of the messages that Kahn's algorithm never releases: replies on a cycle, or that
+    answer one. They belong to no conversation."""
+    kept, _, endless = reply_graph(messages)
+    return kept.join(endless, F.col("row_id") == F.col("id"), "left_semi").select("chat_slug", "msg_no", "reply_no")
+
+
 def conversation_rows(messages: DataFrame, chats: DataFrame) -> DataFrame:
     """One row per message of a whole conversation: chat_slug, root_no, msg_no, row_id, author, level, utc_us, turn.
 
@@ -30,13 +49,7 @@ def conversation_rows(messages: DataFrame, chats: DataFrame) -> DataFrame:
     ``Deleted Account`` do not count; spellings count as they are). Rows with a null chat are left out; row_id must be unique. turn counts
     from 1 by instant, then number; level is the topological level, 0 for the opening.
     """
-    has_reply = F.coalesce(strip(F.col("reply_to")) != "", F.lit(False)).alias("has_reply")
-    has_text = F.coalesce(strip(F.col("text")) != "", F.lit(False)).alias("has_text")
-    kept = kept_rows(messages, message_number(F.col("reply_to")).alias("reply_no"), has_reply, has_text)
-    kept = checkpoint(kept.where("chat_slug is not null").drop("received_at"))
-    parents = kept.select("chat_slug", F.col("msg_no").alias("reply_no"), F.col("row_id").alias("parent"))
-    replies = kept.where("reply_no is not null").select("chat_slug", "reply_no", F.col("row_id").alias("id"))
-    ended, _ = climb(replies.join(parents, ["chat_slug", "reply_no"]).select("id", "parent"))
+    kept, ended, _ = reply_graph(messages)
     openings = ended.select("root").distinct().select(F.col("root").alias("row_id"), "root", F.lit(0).alias("level"))
     placed = ended.select(F.col("id").alias("row_id"), "root", "level").unionByName(openings)
     texts = messages.select("row_id", "date", "author")
@@ -55,34 +68,42 @@ def conversation_rows(messages: DataFrame, chats: DataFrame) -> DataFrame:
     return positions(rows, ["chat_slug", "root_no"], ["utc_us", "msg_no"], "turn")
 
 
-def with_roles(turns: DataFrame, people: DataFrame) -> DataFrame:
+def with_roles(turns: DataFrame, people: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """``turns`` with the author's ``role`` in people, null for unknown names.
 
-    A name belongs to the first person (by id) whose display, id, alias or handle equals it without regard to case
-    and white space at the ends.
+    links (author, id) says for whom an author stands; of several rows the smallest id with a role counts. What it leaves
+    open belongs to the first person (by id) whose display, id, alias or handle equals it without regard to case and white
+    space at the ends.
     """
     clean = lambda c: F.nullif(F.lower(strip(c)), F.lit(""))
     none = F.array().cast("array<string>")
     handles = F.coalesce(F.map_values("handles"), none)
     names = F.array_union(F.array("display", "id"), F.concat(F.coalesce("aliases", none), handles))
     named = people.select("id", "role", F.explode(names).alias("_name")).withColumn("_name", clean(F.col("_name")))
-    first = named.where("_name is not null").groupBy("_name").agg(F.min_by("role", "id").alias("role"))
+    first = named.where("_name is not null").groupBy("_name").agg(F.min_by("role", "id").alias("_equal"))
     authors = turns.select("author").distinct().withColumn("_clean", clean(F.col("author")))
-    roles = authors.join(first, F.col("_clean") == F.col("_name")).select(F.col("author").alias("_author"), "role")
-    return turns.join(roles, F.col("author") == F.col("_author"), "left").drop("_author")
+    roles = authors.join(first, F.col("_clean") == F.col("_name"), "left").select(F.col("author").alias("_author"), "_equal")
+    if links is not None:
+        staff = people.where("role is not null").groupBy("id").agg(F.min("role").alias("_role"))
+        linked = links.join(staff, "id").groupBy(F.col("author").alias("_linked")).agg(F.min_by("_role", "id").alias("_role"))
+        roles = roles.join(linked, F.col("_author") == F.col("_linked"), "left").select("_author", F.coalesce("_role", "_equal").alias("_equal"))
+    return turns.join(roles, F.col("author") == F.col("_author"), "left").withColumn("role", F.col("_equal")).drop("_author", "_equal")
 
 
 def alternation(turns: DataFrame) -> DataFrame:
-    """One row per conversation: turns, speakers counted once, and how many turns answer another speaker.
+    """One row per conversation of turns with roles: turns, speakers counted once, how many turns answer another speaker,
+    and how many another role.
 
-    The neighbour of a turn is found by its number, so a long conversation is spread over tasks.
+    An unknown role is a role of its own. The neighbour of a turn is found by its number, so a long conversation is spread
+    over tasks.
     """
     keys = ["chat_slug", "root_no"]
-    before = turns.select(*keys, (F.col("turn") + 1).alias("turn"), F.col("author").alias("_before"))
+    before = turns.select(*keys, (F.col("turn") + 1).alias("turn"), F.struct("author", "role").alias("_before"))
     joined = turns.join(before, [*keys, "turn"], "left")
-    changed = (F.col("turn") > 1) & ~F.col("author").eqNullSafe(F.col("_before"))
+    changed = lambda c: F.count_if((F.col("turn") > 1) & ~F.col(c).eqNullSafe(F.col(f"_before.{c}")))
     return joined.groupBy(*keys).agg(
         F.count("*").alias("turns"),
         F.count_distinct("author").alias("speakers"),
-        F.count_if(changed).alias("changes"),
+        changed("author").alias("changes"),
+        changed("role").alias("role_changes"),
     )

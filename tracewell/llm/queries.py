@@ -43,14 +43,20 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_turns(spark: SparkSession, d: str) -> DataFrame:
-    """The turns with author, role and level."""
-    rows = conversations.conversation_rows(table(spark, d, "messages"), table(spark, d, "chats"))
-    return conversations.with_roles(rows, table(spark, d, "people"))
+    """The turns with author, role and level; roles by the linkage of names."""
+    messages, people = table(spark, d, "messages"), table(spark, d, "people")
+    links = linkage.links(people, messages).where("kind = 'author'").select(F.col("left_key").alias("author"), F.col("right_key").alias("id"))
+    return conversations.with_roles(conversations.conversation_rows(messages, table(spark, d, "chats")), people, links)
+
+
+def p6_endless(spark: SparkSession, d: str) -> DataFrame:
+    """Messages on a cycle of replies, or that answer one."""
+    return conversations.endless_rows(table(spark, d, "messages"))
 
 
 def p6_alternation(spark: SparkSession, d: str) -> DataFrame:
-    """Turns, speakers and changes of speaker per conversation."""
-    return conversations.alternation(conversations.conversation_rows(table(spark, d, "messages"), table(spark, d, "chats")))
+    """Turns, speakers, changes of speaker and of role per conversation."""
+    return conversations.alternation(p6_turns(spark, d))
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
@@ -93,5 +99,12 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d).join(docs, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("texts"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_members, p5_found, p5_sanitised, p6_found, p6_turns, p6_alternation, p8_packing, p8_fill, p9_found, p9_report, p10_found, p10_profile)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p3_found, p3_members, p5_found, p5_sanitised, p6_found, p6_turns, p6_endless, p6_alternation, p8_packing, p8_fill, p9_found, p9_report, p10_found, p10_profile)}
+ORACLE = {
+    "p6_endless": r"""WITH RECURSIVE n AS (SELECT row_id, chat_slug, received_at,
+  TRY_CAST(regexp_extract(msg_id, '^\s*(?:[^:]*:)?\s*0*([0-9]{1,19})(?:\.0*)?\s*$', 1) AS BIGINT) AS no, TRY_CAST(regexp_extract(reply_to, '^\s*(?:[^:]*:)?\s*0*([0-9]{1,19})(?:\.0*)?\s*$', 1) AS BIGINT) AS up FROM messages),
+k AS (SELECT * FROM n WHERE no IS NOT NULL AND chat_slug IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chat_slug, no ORDER BY received_at, row_id) = 1),
+e AS (SELECT a.chat_slug, a.no, a.up FROM k a JOIN k b ON a.chat_slug = b.chat_slug AND a.up = b.no),
+down AS (SELECT chat_slug, no FROM k WHERE (chat_slug, no) NOT IN (SELECT (chat_slug, no) FROM e) UNION ALL SELECT e.chat_slug, e.no FROM down d JOIN e ON e.chat_slug = d.chat_slug AND e.up = d.no)
+SELECT chat_slug, no AS msg_no, up AS reply_no FROM e WHERE (chat_slug, no) NOT IN (SELECT (chat_slug, no) FROM down)""",
+}

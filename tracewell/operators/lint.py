@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.keys import day, record_id
-from tracewell.functions.text import nonblank, version_parts
+from tracewell.functions.text import contained_path, nonblank, version_parts
 from tracewell.operators.ingest import ATTRIBUTION
 from tracewell.operators.registry import account_clashes, alias_clashes, strangers
 
@@ -18,6 +18,10 @@ FIDELITY = ("verbatim", "reconstructed", "digest", "placeholder")
 STATUS = ("present", "missing", "unrecoverable")
 CONTOURS = ("work", "personal", "public")
 ROLES = ("self", "client", "colleague", "management", "other")
+REASONS = ("pii", "off-topic", "leaked-internal", "client-confidential")
+#: What an archive must have, and what may lie at its top.
+REQUIRED = ("MANIFEST.json", "INDEX.md", "summaries/work-progress.md")
+TOP = ("MANIFEST.json", "INDEX.md", "summaries", "raw")
 #: The version of the format that a section, or a field, asks for.
 SECTION_VERSIONS = {"imports": "1.1", "people": "1.2", "retired": "1.5", "requirements": "1.7", "questions": "1.7"}
 
@@ -76,6 +80,44 @@ def v06(items: DataFrame) -> DataFrame:
     ])
 
 
+def v06_appeared(items: DataFrame, files: DataFrame) -> DataFrame:
+    """Missing items whose file has come: a warning; files are (path)."""
+    come = files.select(F.col("path").alias("raw_path")).distinct()
+    return violation(items.where("status = 'missing'").join(come, "raw_path", "left_semi"), "W", "V06", "file has come", F.col("id"))
+
+
+def v07(files: DataFrame) -> DataFrame:
+    """What an archive must have and files (path) lack."""
+    asked = files.sparkSession.createDataFrame([(x,) for x in REQUIRED], "path string")
+    return violation(asked.join(files.select("path"), "path", "left_anti"), "E", "V07", "required file is not there", F.col("path"))
+
+
+def v11(files: DataFrame) -> DataFrame:
+    """Entries at the top of an archive that no rule allows; hidden ones don't count; files are (path)."""
+    top = files.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("top")).distinct()
+    return violation(top.where(~F.col("top").isin(*TOP) & ~F.col("top").startswith(".")), "E", "V11", "outside the allowed zones", F.col("top"))
+
+
+def v15(redactions: DataFrame) -> DataFrame:
+    """Redactions (id, reason, description, reversible, vault_ref): unique id, a known reason, a description; what can be
+    undone says where the original is, and never inside the archive."""
+    inside = nonblank(F.col("vault_ref")) & contained_path(F.col("vault_ref")).isNotNull()
+    return union([
+        violation(repeated(redactions, F.col("id")), "E", "V15", "id repeated", F.col("key")),
+        violation(redactions.where(~F.coalesce(F.col("reason").isin(*REASONS), F.lit(False))), "E", "V15", "reason outside its domain", F.col("id")),
+        violation(redactions.where(~nonblank(F.col("description"))), "E", "V15", "no description", F.col("id")),
+        violation(redactions.where(F.coalesce("reversible", F.lit(False)) & (F.coalesce("vault_ref", F.lit("")) == "")), "E", "V15", "no place of the original", F.col("id")),
+        violation(redactions.where(inside), "E", "V15", "original inside the archive", F.col("id")),
+    ])
+
+
+def report(violations: DataFrame, strict: bool = False) -> DataFrame:
+    """(ok, errors, warnings, passes): no errors; how many of each; whether the run passes, in strict mode without warnings."""
+    counts = violations.agg(F.count_if(F.col("severity") == "E").alias("errors"), F.count_if(F.col("severity") == "W").alias("warnings"))
+    ok = F.col("errors") == 0
+    return counts.select(ok.alias("ok"), "errors", "warnings", (ok & (F.lit(not strict) | (F.col("warnings") == 0))).alias("passes"))
+
+
 def v09(records: DataFrame, redactions: DataFrame) -> DataFrame:
     """Redactions of records (id, redactions) that are not in redactions (id)."""
     used = records.select("id", F.explode("redactions").alias("redaction"))
@@ -123,9 +165,11 @@ def v16(people: DataFrame) -> DataFrame:
 
 
 def v17(items: DataFrame) -> DataFrame:
-    """Files that several items name; an item that is repeated counts once."""
-    shared = items.where("raw_path is not null").select("id", "raw_path").distinct().groupBy("raw_path").agg(F.count("*").alias("n")).where("n > 1")
-    return violation(shared, "E", "V17", "file of several items", F.col("raw_path"))
+    """Items that name a file which an item with a smaller id names; an item that is repeated counts once."""
+    named = items.where("raw_path <> ''").select("id", "raw_path").distinct()
+    first = named.groupBy("raw_path").agg(F.min("id").alias("first")).withColumnRenamed("raw_path", "_p")
+    later = named.join(first, F.col("raw_path") == F.col("_p")).where("id <> first")
+    return violation(later, "E", "V17", F.concat(F.lit("file of "), F.col("first")), F.col("id"))
 
 
 def required_version(sections: DataFrame) -> DataFrame:

@@ -159,7 +159,15 @@ def media_first(spark: SparkSession, d: str) -> DataFrame:
     return ingest.media_first(table(spark, d, "messages"))
 
 
-@query()
+@query(
+    """WITH w AS (SELECT media AS path, row_id, row_number() OVER (PARTITION BY media ORDER BY row_id) AS n FROM (SELECT DISTINCT media, row_id FROM messages WHERE media <> '')),
+t AS (SELECT DISTINCT raw_path AS path FROM items WHERE raw_path IS NOT NULL),
+u AS (SELECT path, 1::BIGINT AS k FROM t UNION SELECT regexp_replace(path, '-[0-9]{1,9}([.][^./]*)?$', '\\1'), regexp_extract(path, '-([0-9]{1,9})(?:[.][^./]*)?$', 1)::BIGINT FROM t WHERE regexp_matches(path, '-[0-9]{1,9}([.][^./]*)?$')),
+m AS (SELECT w.path, max(n) + coalesce(max(x.c), 0) AS most FROM w LEFT JOIN (SELECT path, count(*) AS c FROM u GROUP BY 1) x USING (path) GROUP BY 1),
+c AS (SELECT path, unnest(range(1, most + 1)) AS k FROM m),
+f AS (SELECT path, k, row_number() OVER (PARTITION BY path ORDER BY k) AS n FROM c ANTI JOIN u USING (path, k))
+SELECT w.path, w.row_id, CASE WHEN f.k = 1 THEN w.path ELSE regexp_replace(w.path, '^(.*?)([.][^./]*)?$', '\\1-' || f.k || '\\2') END AS name FROM w JOIN f USING (path, n)"""
+)
 def media_names(spark: SparkSession, d: str) -> DataFrame:
     """A name of its own for the attachment of every row that has one, beside the paths items already use."""
     rows = table(spark, d, "messages").where("media <> ''").select(F.col("media").alias("path"), "row_id")
@@ -398,7 +406,10 @@ def record_lookup(spark: SparkSession, d: str) -> DataFrame:
     return archive.lookup([("1 items", table(spark, d, "items")), ("2 requirements", table(spark, d, "requirements")), ("3 retired", table(spark, d, "retired"))], wanted).where("id is not null")
 
 
-@query()
+_LISTED = Sql("coalesce(array_to_string(list_filter(list_transform({0}, lambda x: " + _TRIM.format("x") + "), lambda x, i: x <> '' AND list_position(list_transform({0}, lambda y: " + _TRIM.format("y") + "), x) = i), '; '), '')")
+
+
+@query(f"SELECT id, coalesce(attribution, 'reliable') AS attribution, {_LISTED.format('participants')} AS participants, {_LISTED.format('tags')} AS tags FROM items")
 def item_defaults(spark: SparkSession, d: str) -> DataFrame:
     """Items with their defaults."""
     return archive.item_defaults(table(spark, d, "items"))
@@ -410,11 +421,12 @@ CASE WHEN (SELECT count(*) FROM retired) > 0 THEN '1.5' ELSE '1.0' END, CASE WHE
 )
 def required_version(spark: SparkSession, d: str) -> DataFrame:
     """The least version of the format that holds these tables."""
-    sections = None
-    for section, name in (("imports", "import_batches"), ("people", "people"), ("retired", "retired"), ("requirements", "requirements")):
-        part = table(spark, d, name).agg(F.count("*").alias("rows")).select(F.lit(section).alias("section"), "rows")
-        sections = part if sections is None else sections.unionByName(part)
-    return lint.required_version(sections)
+    return lint.required_version(_sections(spark, d))
+
+
+def _sections(spark: SparkSession, d: str) -> DataFrame:
+    names = (("imports", "import_batches"), ("people", "people"), ("retired", "retired"), ("requirements", "requirements"))
+    return lint.union([table(spark, d, name).agg(F.count("*").alias("rows")).select(F.lit(section).alias("section"), "rows") for section, name in names])
 
 
 # --- integrity ---------------------------------------------------------------------------------------------------
@@ -473,7 +485,7 @@ _LINT = {
             _v(f"FROM (SELECT type, account FROM ({_ACCOUNT}) GROUP BY 1, 2 HAVING count(*) > 1)", "E", "V16", "'account of several people'", "type || ':' || account"),
         )
     ),
-    "v17": _v("FROM (SELECT raw_path FROM (SELECT DISTINCT id, raw_path FROM items WHERE raw_path IS NOT NULL) GROUP BY 1 HAVING count(*) > 1)", "E", "V17", "'file of several items'", "raw_path"),
+    "v17": _v("FROM (SELECT DISTINCT id, min(id) OVER (PARTITION BY raw_path) AS first FROM items WHERE raw_path <> '') WHERE id <> first", "E", "V17", "'file of ' || first", "id"),
 }
 
 
@@ -519,6 +531,104 @@ def lint_v17(spark: SparkSession, d: str) -> DataFrame:
     return lint.v17(table(spark, d, "items"))
 
 
+_SHORT = "SELECT DISTINCT id, regexp_replace(raw_path, '[^_]*_[0-9]+[.]', '.') AS raw_path FROM items"
+
+
+@query("SELECT 'E' AS severity, 'V17' AS code, 'file of ' || first AS message, id AS place FROM (SELECT id, min(id) OVER (PARTITION BY raw_path) AS first FROM (" + _SHORT + ") WHERE raw_path <> '') WHERE id <> first")
+def lint_v17_shared(spark: SparkSession, d: str) -> DataFrame:
+    """Items whose files lose what tells them apart: one file a zone and day."""
+    items = table(spark, d, "items").select("id", F.regexp_replace("raw_path", "[^_]*_[0-9]+[.]", ".").alias("raw_path"))
+    return lint.v17(items)
+
+
+#: What a listing of an archive's files would show: of the items' files some are lost, some are not what they were, some
+#: missing ones have come; and what messages brought.
+_DISK = """SELECT raw_path AS path, min(CASE WHEN left(sha256, 1) = 'e' THEN sha256(raw_path) ELSE sha256 END) AS sha256 FROM items WHERE raw_path IS NOT NULL AND coalesce(left(sha256, 1), '0') <> 'f' AND (status = 'present' OR id LIKE '%7') GROUP BY 1
+UNION ALL SELECT 'raw/' || media, sha256(media) FROM (SELECT DISTINCT media FROM messages WHERE media <> '') UNION ALL SELECT path, NULL FROM (VALUES ('INDEX.md'), ('.git/config'), ('notes/a.md')) t(path)"""
+
+
+def _disk(spark: SparkSession, d: str) -> DataFrame:
+    there = table(spark, d, "items").where("raw_path is not null and coalesce(left(sha256, 1), '0') <> 'f' and (status = 'present' or id like '%7')")
+    kept = there.groupBy(F.col("raw_path").alias("path")).agg(F.min(F.when(F.left("sha256", F.lit(1)) == "e", F.sha2("raw_path", 256)).otherwise(F.col("sha256"))).alias("sha256"))
+    brought = table(spark, d, "messages").where("media <> ''").select("media").distinct().select(F.concat(F.lit("raw/"), "media").alias("path"), F.sha2("media", 256).alias("sha256"))
+    return kept.unionByName(brought).unionByName(spark.createDataFrame([("INDEX.md", None), (".git/config", None), ("notes/a.md", None)], "path string, sha256 string"))
+
+
+@query(
+    f"""WITH f AS ({_DISK}) SELECT 'E' AS severity, CASE WHEN f.path IS NULL THEN 'V01' ELSE 'V02' END AS code, CASE WHEN f.path IS NULL THEN 'no file' ELSE 'other contents' END AS message, id AS place
+FROM items i LEFT JOIN f ON f.path = i.raw_path WHERE status = 'present' AND (f.path IS NULL OR i.sha256 IS DISTINCT FROM f.sha256)"""
+)
+def lint_v01_v02(spark: SparkSession, d: str) -> DataFrame:
+    """Present items without their file, or with other contents."""
+    return lint.v01_v02(table(spark, d, "items"), _disk(spark, d))
+
+
+@query(f"WITH f AS ({_DISK}) SELECT DISTINCT 'E' AS severity, 'V03' AS code, 'file that no item names' AS message, path AS place FROM f WHERE path NOT IN (SELECT raw_path FROM items WHERE raw_path IS NOT NULL UNION SELECT unnest(derived_paths) FROM items)")
+def lint_v03(spark: SparkSession, d: str) -> DataFrame:
+    """Files that no item names."""
+    return lint.v03(table(spark, d, "items"), _disk(spark, d))
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """A page per item that links to its file, to a part of it, and out."""
+    link = F.concat(F.lit("See ["), "id", F.lit("]("), X.url_path(F.col("raw_path")), F.lit(") and [part]("), X.url_path(F.col("raw_path")), F.lit("#p1), [site](https://x.test/a) or [mail](mailto:a@x.test)."))
+    return table(spark, d, "items").where("raw_path is not null").select(F.col("id").alias("doc"), link.alias("text"))
+
+
+@query("SELECT DISTINCT id AS doc, raw_path AS target FROM items WHERE raw_path IS NOT NULL")
+def markdown_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links of pages to files, read back from encoded markdown."""
+    return files.markdown_links(_pages(spark, d))
+
+
+@query(f"WITH f AS ({_DISK}) SELECT DISTINCT 'E' AS severity, 'V04' AS code, 'link without target' AS message, id || ' -> ' || raw_path AS place FROM items WHERE raw_path IS NOT NULL AND raw_path NOT IN (SELECT path FROM f)")
+def lint_v04(spark: SparkSession, d: str) -> DataFrame:
+    """Links of pages that lead to no file."""
+    return lint.v04(files.markdown_links(_pages(spark, d)), _disk(spark, d))
+
+
+@query(f"WITH f AS ({_DISK}) SELECT 'W' AS severity, 'V06' AS code, 'file has come' AS message, id AS place FROM items WHERE status = 'missing' AND raw_path IN (SELECT path FROM f)")
+def lint_v06_appeared(spark: SparkSession, d: str) -> DataFrame:
+    """Missing items whose file has come."""
+    return lint.v06_appeared(table(spark, d, "items"), _disk(spark, d))
+
+
+@query(
+    f"""WITH f AS ({_DISK}) SELECT 'E' AS severity, 'V07' AS code, 'required file is not there' AS message, path AS place FROM (VALUES ('MANIFEST.json'), ('INDEX.md'), ('summaries/work-progress.md')) t(path) WHERE path NOT IN (SELECT path FROM f)
+UNION ALL SELECT DISTINCT 'E', 'V11', 'outside the allowed zones', split_part(path, '/', 1) FROM f WHERE split_part(path, '/', 1) NOT IN ('MANIFEST.json', 'INDEX.md', 'summaries', 'raw') AND path NOT LIKE '.%'"""
+)
+def lint_v07_v11(spark: SparkSession, d: str) -> DataFrame:
+    """What an archive lacks, and what lies at its top without leave."""
+    return lint.v07(_disk(spark, d)).unionByName(lint.v11(_disk(spark, d)))
+
+
+_REDACTIONS = """SELECT CASE WHEN id LIKE '%99' THEN left(id, 9) ELSE id END AS id, reason, CASE WHEN id LIKE '%3' THEN ' ' ELSE was END AS description, right(id, 1) IN ('0', '2', '4', '6') AS reversible,
+CASE right(id, 1) WHEN '2' THEN 'vault/' || id WHEN '4' THEN '../vault/' || id WHEN '6' THEN '/vault/' || id WHEN '8' THEN 'a/../../' || id END AS vault_ref FROM retired"""
+
+
+@query(
+    f"""WITH r AS ({_REDACTIONS}) SELECT 'E' AS severity, 'V15' AS code, 'id repeated' AS message, id AS place FROM r GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'E', 'V15', 'reason outside its domain', id FROM r WHERE NOT coalesce(reason IN ('pii', 'off-topic', 'leaked-internal', 'client-confidential'), false)
+UNION ALL SELECT 'E', 'V15', 'no description', id FROM r WHERE {_BLANK.format('description')} UNION ALL SELECT 'E', 'V15', 'no place of the original', id FROM r WHERE reversible AND vault_ref IS NULL
+UNION ALL SELECT 'E', 'V15', 'original inside the archive', id FROM r WHERE vault_ref LIKE 'vault/%'"""
+)
+def lint_v15(spark: SparkSession, d: str) -> DataFrame:
+    """Redactions that break their contract."""
+    last = F.right("id", F.lit(1))
+    ref = F.when(last == "2", F.concat(F.lit("vault/"), "id")).when(last == "4", F.concat(F.lit("../vault/"), "id")).when(last == "6", F.concat(F.lit("/vault/"), "id")).when(last == "8", F.concat(F.lit("a/../../"), "id"))
+    rows = table(spark, d, "retired").select(
+        F.when(F.col("id").like("%99"), F.left("id", F.lit(9))).otherwise(F.col("id")).alias("id"), "reason", F.when(F.col("id").like("%3"), " ").otherwise(F.col("was")).alias("description"),
+        last.isin("0", "2", "4", "6").alias("reversible"), ref.alias("vault_ref"),
+    )
+    return lint.v15(rows)
+
+
+@query("SELECT 'E' AS severity, 'V18' AS code, 'needs ' || version AS message, '1.4' AS place FROM (" + ORACLE["required_version"] + ") WHERE version IN ('1.5', '1.7')")
+def lint_v18(spark: SparkSession, d: str) -> DataFrame:
+    """An archive that declares version 1.4 and has sections of later ones."""
+    return lint.v18(spark.createDataFrame([("1.4",)], "version string"), _sections(spark, d))
+
+
 _V19 = f"""WITH RECURSIVE r AS (SELECT {_ID.format("id")} AS id, quote, {_ID.format("supersedes")} AS target FROM requirements WHERE {_ID.format("id")} IS NOT NULL),
 e AS (SELECT id, min(target) AS up FROM r GROUP BY 1), ok AS (SELECT a.id, a.up FROM e a JOIN e b ON a.up = b.id), w AS (SELECT id, up AS tip FROM ok UNION SELECT w.id, ok.up FROM w JOIN ok ON ok.id = w.tip)
 SELECT 'E' AS severity, 'V19' AS code, 'id repeated' AS message, id AS place FROM r GROUP BY id HAVING count(*) > 1
@@ -536,10 +646,26 @@ def lint_v19(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT code, severity, count(*) AS violations FROM (" + " UNION ALL ".join(f"({x})" for x in _LINT.values()) + f" UNION ALL ({_V19})) GROUP BY 1, 2")
 def lint_all(spark: SparkSession, d: str) -> DataFrame:
     """Violations per rule."""
-    items = table(spark, d, "items")
+    return _violations(spark, d).groupBy("code", "severity").agg(F.count("*").alias("violations"))
+
+
+def _violations(spark: SparkSession, d: str) -> DataFrame:
+    items, disk = table(spark, d, "items"), _disk(spark, d)
     parts = [lint.v05(items), lint.v06(items), lint.v10(items, AS_OF), lint.v13(items), lint.v16(table(spark, d, "people")), lint.v17(items)]
     parts.append(lint.v19(table(spark, d, "requirements"), _cycles(spark, d).select("cycle").distinct()))
-    return lint.union(parts).groupBy("code", "severity").agg(F.count("*").alias("violations"))
+    parts += [lint.v01_v02(items, disk), lint.v03(items, disk), lint.v06_appeared(items, disk), lint.v07(disk), lint.v11(disk)]
+    parts += [lint_v04(spark, d), lint_v09(spark, d), lint_v14(spark, d), lint_v15(spark, d), lint_v18(spark, d)]
+    return lint.union(parts)
+
+
+_EVERY = [*_LINT.values(), _V19, *(ORACLE[f"lint_{v}"] for v in ("v01_v02", "v03", "v04", "v06_appeared", "v07_v11", "v09", "v14", "v15", "v18"))]
+ORACLE["lint_all"] = "SELECT code, severity, count(*) AS violations FROM (" + " UNION ALL ".join(f"(SELECT severity, code, message, place FROM ({x}))" for x in _EVERY) + ") GROUP BY 1, 2"
+
+
+@query("SELECT errors = 0 AS ok, errors, warnings, errors = 0 AND warnings = 0 AS passes FROM (SELECT count(*) FILTER (severity = 'E') AS errors, count(*) FILTER (severity = 'W') AS warnings FROM (" + " UNION ALL ".join(f"(SELECT severity FROM ({x}))" for x in _EVERY) + "))")
+def lint_report(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the archive passes all rules, in strict mode."""
+    return lint.report(_violations(spark, d), strict=True)
 
 
 # --- text functions ----------------------------------------------------------------------------------------------
@@ -598,7 +724,13 @@ def url_paths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "items").where("raw_path is not null").select("raw_path").distinct().select("raw_path", X.url_path(F.col("raw_path")).alias("url"))
 
 
-@query()
+_SLUG = "lower(" + _TRIM.format("display") + ")"
+for _letter, _latin in X.SLUG_LETTERS.items():
+    _SLUG = f"replace({_SLUG}, '{_letter}', '{_latin}')"
+_SLUG = f"regexp_replace(regexp_replace(regexp_replace(strip_accents({_SLUG}), '[^\\p{{L}}a-z0-9]', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g')"
+
+
+@query(f"SELECT id, CASE WHEN display IS NOT NULL THEN coalesce(nullif(rtrim(left(trim({_SLUG}, '-'), 60), '-'), ''), 'unnamed') END AS slug FROM people")
 def slugs(spark: SparkSession, d: str) -> DataFrame:
     """File-name forms of people's names."""
     return table(spark, d, "people").select("id", X.slugify(F.col("display")).alias("slug"))
@@ -668,12 +800,15 @@ def paste_messages(spark: SparkSession, d: str) -> DataFrame:
     return chats.parse_paste(_paste(spark, d))
 
 
-@query()
+@query(
+    f"""SELECT (row_number() OVER (PARTITION BY chat_slug, day, row_id // 1000 ORDER BY row_id) - 1)::INT AS pos, date, coalesce(nullif(author, ''), 'unknown') AS author, coalesce(text, '') AS text, NULL::VARCHAR AS via,
+nullif(media, '') AS media, CASE WHEN media <> '' THEN 'document' END AS media_kind, msg_id, reply_to, 'reliable' AS attribution, NULL::VARCHAR AS shown_as, 'tg' || chat_slug AS source_id FROM ({_DATED}) WHERE msg_id IS NOT NULL"""
+)
 def export_messages(spark: SparkSession, d: str) -> DataFrame:
     """Messages read back from messenger exports, one for each chat, day and thousand rows."""
     rows = _days(spark, d).where("msg_id is not null")
     fields = F.struct(F.col("msg_id").alias("id"), F.lit("message").alias("type"), "date", F.col("author").alias("from"), F.to_json(F.array(F.coalesce("text", F.lit("")))).alias("text"), F.col("media").alias("file"), F.col("reply_to").alias("reply_to_message_id"))
-    export = rows.groupBy("chat_slug", "day", F.floor(F.col("row_id") / 1_000).alias("part")).agg(F.to_json(F.struct(F.first("chat_slug").alias("id"), F.collect_list(fields).alias("messages"))).alias("value"))
+    export = rows.groupBy("chat_slug", "day", F.floor(F.col("row_id") / 1_000).alias("part")).agg(F.to_json(F.struct(F.first("chat_slug").alias("id"), F.transform(F.array_sort(F.collect_list(F.struct("row_id", fields.alias("m")))), lambda x: x["m"]).alias("messages"))).alias("value"))
     return chats.parse_export(export.select("value"))
 
 
@@ -687,3 +822,18 @@ def web_links(spark: SparkSession, d: str) -> DataFrame:
 def contained_paths(spark: SparkSession, d: str) -> DataFrame:
     """Attachments whose path leads out of its source, or nowhere."""
     return table(spark, d, "messages").where("media is not null").select("row_id", "media", X.contained_path(F.col("media")).alias("inside"))
+
+
+@query("SELECT row_id, coalesce(text, '') || coalesce(author, '') AS plain FROM messages")
+def rich_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Plain text of messages whose text comes as a list of texts and objects."""
+    bold = F.struct(F.lit("bold").alias("type"), F.coalesce("author", F.lit("")).alias("text"))
+    first = F.regexp_extract(F.to_json(F.array(F.coalesce("text", F.lit("")))), r"(?s)^\[(.*)\]$", 1)
+    value = F.concat(F.lit("["), first, F.lit(","), F.to_json(bold), F.lit("]"))
+    return table(spark, d, "messages").select("row_id", X.rich_text(value).alias("plain"))
+
+
+@query(f"SELECT row_id, replace({_COLLAPSE.format('text')}, '`', chr(39)) AS span FROM messages WHERE text IS NOT NULL")
+def code_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Messages as inline code."""
+    return table(spark, d, "messages").where("text is not null").select("row_id", X.inline_span(F.col("text")).alias("span"))

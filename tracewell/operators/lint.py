@@ -20,7 +20,7 @@ CONTOURS = ("work", "personal", "public")
 ROLES = ("self", "client", "colleague", "management", "other")
 REASONS = ("pii", "off-topic", "leaked-internal", "client-confidential")
 #: What an archive must have, and what may lie at its top.
-REQUIRED = ("MANIFEST.json", "INDEX.md", "summaries/work-progress.md")
+REQUIRED = ("MANIFEST.json", "INDEX.md", "summaries/attachments-summary.md", "summaries/conventions.md", "summaries/findings-log.md", "summaries/redactions.md")
 TOP = ("MANIFEST.json", "INDEX.md", "summaries", "raw")
 #: The version of the format that a section, or a field, asks for.
 SECTION_VERSIONS = {"imports": "1.1", "people": "1.2", "retired": "1.5", "requirements": "1.7", "questions": "1.7"}

@@ -594,7 +594,7 @@ def lint_v06_appeared(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH f AS ({_DISK}) SELECT 'E' AS severity, 'V07' AS code, 'required file is not there' AS message, path AS place FROM (VALUES ('MANIFEST.json'), ('INDEX.md'), ('summaries/work-progress.md')) t(path) WHERE path NOT IN (SELECT path FROM f)
+    f"""WITH f AS ({_DISK}) SELECT 'E' AS severity, 'V07' AS code, 'required file is not there' AS message, path AS place FROM (VALUES ('MANIFEST.json'), ('INDEX.md'), ('summaries/attachments-summary.md'), ('summaries/conventions.md'), ('summaries/findings-log.md'), ('summaries/redactions.md')) t(path) WHERE path NOT IN (SELECT path FROM f)
 UNION ALL SELECT DISTINCT 'E', 'V11', 'outside the allowed zones', split_part(path, '/', 1) FROM f WHERE split_part(path, '/', 1) NOT IN ('MANIFEST.json', 'INDEX.md', 'summaries', 'raw') AND path NOT LIKE '.%'"""
 )
 def lint_v07_v11(spark: SparkSession, d: str) -> DataFrame:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import os
-import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import rich_text, truthy
 from tracewell.operators.ingest import forward_authorship
 from tracewell.operators.ranking import running
+from tracewell.sources.paths import Folder
 
 #: Field names of the formats.
 EXPORT = "name string, id string, messages array<struct<id:string,type:string,date:string,`from`:string,actor:string,forwarded_from:string,text:string,file:string,photo:string,media_type:string,reply_to_message_id:string>>"
@@ -28,30 +27,38 @@ NAME_CHARS = 60
 HEAD_LINES = 40
 
 
-def detect(path: str) -> str | None:
-    """The format of a source on the driver, by its head: ``export``, ``capture``, ``paste`` or None."""
-    for kind, name in (("export", "result.json"), ("capture", "inbox.json")):
-        file = os.path.join(path, name) if os.path.isdir(path) else path
-        try:
-            with open(file, encoding="utf-8") as f:
-                data = json.load(f)
-            rows = data.get("messages") if isinstance(data, dict) else data
-            captured = isinstance(rows, list) and has_required(rows)
-            if kind == "export" and isinstance(data, dict) and isinstance(rows, list) and not captured:
-                return "export"
-            if kind == "capture" and captured:
-                return "capture"
-        except (OSError, ValueError):
+def detect(spark: SparkSession, path: str) -> tuple[str, str] | None:
+    """(format, file) of a source: ``export``, ``capture`` or ``paste``; None for anything else.
+
+    Files are read in a task each; the driver learns only what they are.
+    """
+    folder = Folder(spark, path)
+    inside = folder.is_folder()
+    if not folder.exists():
+        return None
+    for name in ("result.json", "inbox.json"):
+        if inside and not folder.exists(name):
             continue
-    if os.path.isfile(path) and os.path.splitext(path)[1] in (".txt", ".md", ""):
-        with open(path, encoding="utf-8", errors="replace") as f:
-            if any(re.match(STAMP, line) for _, line in zip(range(HEAD_LINES), f)):
-                return "paste"
+        file = folder.at(name) if inside else path
+        keys = F.json_object_keys(F.get_json_object(_rows(), "$[0]"))
+        captured = F.coalesce(F.forall(F.array(*map(F.lit, REQUIRED)), lambda k: F.array_contains(keys, k)), F.lit(False))
+        listed = F.coalesce(F.get_json_object("value", "$.messages").startswith("["), F.lit(False))
+        found = spark.read.text(file, wholetext=True).select(captured.alias("captured"), listed.alias("listed")).first()
+        if found and found.captured:
+            return "capture", file
+        if found and found.listed:
+            return "export", file
+    if not inside and os.path.splitext(path)[1] in (".txt", ".md", ""):
+        head = F.slice(F.split("value", "\n"), 1, HEAD_LINES)
+        found = spark.read.text(path, wholetext=True).select(F.exists(head, lambda x: F.regexp_like(x, F.lit(STAMP))).alias("stamped")).first()
+        if found and found.stamped:
+            return "paste", path
     return None
 
 
-def has_required(rows: list) -> bool:
-    return bool(rows) and isinstance(rows[0], dict) and set(REQUIRED) <= set(rows[0])
+def _rows() -> Column:
+    """The list of messages of a document: its own, or the whole."""
+    return F.coalesce(F.get_json_object("value", "$.messages"), F.col("value"))
 
 
 def missing_keys(rows: list) -> list[str]:
@@ -144,18 +151,13 @@ def parse_paste(lines: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Messages of a source on a path, its format detected; an unknown format is an error."""
-    kind = detect(path)
+    kind, file = detect(spark, path) or ("", "")
+    if not kind:
+        raise ValueError(f"no known chat format: {path}")
+    whole = spark.read.text(file, wholetext=True)
     if kind == "export":
-        file = os.path.join(path, "result.json") if os.path.isdir(path) else path
-        return parse_export(spark.read.text(f"file://{os.path.abspath(file)}", wholetext=True))
+        return parse_export(whole)
     if kind == "capture":
-        file = os.path.join(path, "inbox.json") if os.path.isdir(path) else path
-        with open(file, encoding="utf-8") as f:
-            data = json.load(f)
-        listed = data["messages"] if isinstance(data, dict) else data
-        return parse_capture(spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(listed)], "pos long, value string"))
-    if kind == "paste":
-        with open(path, encoding="utf-8") as f:
-            lines = [(os.path.basename(path), i, line.rstrip("\n")) for i, line in enumerate(f)]
-        return parse_paste(spark.createDataFrame(lines, "source string, line_no long, value string"))
-    raise ValueError(f"no known chat format: {path}")
+        return parse_capture(whole.select(F.posexplode(F.from_json(_rows(), "array<string>")).alias("pos", "value")))
+    lines = whole.select(F.lit(file.rsplit("/", 1)[-1]).alias("source"), F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("line_no", "value"))
+    return parse_paste(lines)

@@ -11,10 +11,12 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import url_unpath
+from tracewell.sources.paths import Folder
 
 CHUNK = 1 << 20
 #: Kinds of files that hold text we can read, and known ones that we cannot.
@@ -97,22 +99,36 @@ def fingerprints(files: DataFrame) -> DataFrame:
 
 
 def raw_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, sha256) of every file below a folder, hidden ones too, by path; contents are read in the tasks."""
-    paths = sorted(os.path.relpath(os.path.join(at, n), root) for at, _, files in os.walk(root) for n in files)
+    """(path, size, sha256) of every file below a folder of any shared file system, hidden ones too.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Only the entries directly below are listed on the driver; folders are listed, and contents read, in the tasks.
+    """
+    folder = Folder(spark, root)
+    base = root if "://" in root else f"file://{os.path.abspath(root)}"
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, top = pafs.FileSystem.from_uri(base)
         for batch in batches:
-            rows = []
+            for name in batch.path:
+                info = fs.get_file_info(f"{top}/{name}")
+                found = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(info.path, recursive=True))
+                rows = [(f.path.removeprefix(top).lstrip("/"), f.size) for f in found if f.is_file]
+                yield pd.DataFrame(rows, columns=["path", "size"]).astype({"size": "int64"})
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, top = pafs.FileSystem.from_uri(base)
+        for batch in batches:
+            sums = []
             for path in batch.path:
-                digest, size = hashlib.sha256(), 0
-                with open(os.path.join(root, path), "rb") as f:
+                digest = hashlib.sha256()
+                with fs.open_input_stream(f"{top}/{path}") as f:
                     while chunk := f.read(CHUNK):
                         digest.update(chunk)
-                        size += len(chunk)
-                rows.append((path, size, digest.hexdigest()))
-            yield pd.DataFrame(rows, columns=["path", "size", "sha256"])
+                sums.append(digest.hexdigest())
+            yield batch.assign(sha256=sums)
 
-    return spark.createDataFrame([(p,) for p in paths], "path string").mapInPandas(run, "path string, size bigint, sha256 string")
+    names = spark.createDataFrame([(n,) for n in folder.names()], "path string").mapInPandas(listed, "path string, size bigint")
+    return names.repartition("path").mapInPandas(hashed, "path string, size bigint, sha256 string")
 
 
 def batch_lines(lines: DataFrame) -> DataFrame:

@@ -1,20 +1,21 @@
 """The archive as snapshots of typed tables, changed as a whole or not at all.
 
-Each change writes a new snapshot folder and then moves a pointer file to it; readers follow the pointer. A writer names
-the snapshot it started from, and is refused if another one has come since.
+Each change writes its tables to a folder of its own and then adds an entry to a log: a numbered file that names the
+folder of every table. The last entry is the archive. A writer names the entry it started from; the next number can be
+taken once only, so of two writers one is refused. Any file system that the cluster shares will do.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import pathlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.sources.paths import Folder
+
 #: The relations of an archive and their columns.
 TABLES = {
     "export": "slug string, title string, created string, project string, contour string, participants array<string>",
@@ -31,7 +32,7 @@ TABLES = {
     " answered_by string, dropped_reason string, redactions array<string>, date string",
 }
 MAJOR = 1
-POINTER = "CURRENT"
+LOG = "log"
 
 
 class Conflict(RuntimeError):
@@ -42,69 +43,58 @@ class Store:
     """Tables of one archive under a folder that driver and executors share."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, pathlib.Path(root)
+        self.spark, self.root = spark, Folder(spark, root)
 
     def create(self) -> None:
         """An empty archive with all its tables."""
-        self.root.mkdir(parents=True, exist_ok=True)
-        if not (self.root / POINTER).exists():
+        if self.version() is None:
             self.commit({n: self.spark.createDataFrame([], s) for n, s in TABLES.items()}, None)
 
     def version(self) -> str | None:
-        path = self.root / POINTER
-        return json.loads(path.read_text())["snapshot"] if path.exists() else None
+        """The number of the last entry of the log."""
+        entries = [n for n in self.root.names(LOG) if n.endswith(".json")]
+        return entries[-1].removesuffix(".json") if entries else None
+
+    def _tables(self, version: str | None) -> dict[str, str]:
+        return json.loads(self.root.read_text(f"{LOG}/{version}.json"))["tables"] if version else {}
 
     def read(self, name: str) -> DataFrame:
         """One table of the current snapshot; a table that the archive lacks is empty."""
-        at = self.version()
-        path = self.root / str(at) / name
-        if at is None or not path.exists():
+        at = self._tables(self.version()).get(name)
+        if at is None:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"file://{path}")
+        return self.spark.read.schema(TABLES[name]).parquet(self.root.at(at))
 
     def commit(self, changed: dict[str, DataFrame], since: str | None) -> str:
-        """A new snapshot with the changed tables; the others are taken over by link. All or nothing."""
-        snapshot = uuid.uuid4().hex
-        stage = self.root / snapshot
-        stage.mkdir(parents=True)
+        """A new snapshot with the changed tables; the others stay where they are. All or nothing."""
+        tables, stage = self._tables(since), uuid.uuid4().hex
         for name, df in changed.items():
-            df.write.parquet(f"file://{stage / name}")
-        if since is not None:
-            for name in TABLES:
-                old = self.root / since / name
-                if name not in changed and old.exists():
-                    os.symlink(os.path.realpath(old), stage / name)
-        pointer = self.root / POINTER
-        lock = self.root / f"{POINTER}.lock"
-        try:
-            held = os.open(lock, os.O_CREAT | os.O_EXCL)
-        except FileExistsError as e:
-            raise Conflict("another writer is at work") from e
-        try:
-            if self.version() != since:
-                raise Conflict("the archive has changed since")
-            fresh = self.root / f"{POINTER}.{snapshot}"
-            fresh.write_text(json.dumps({"snapshot": snapshot, "format": f"{MAJOR}.0"}))
-            os.replace(fresh, pointer)
-        finally:
-            os.close(held)
-            os.unlink(lock)
-        return snapshot
+            tables[name] = f"{stage}/{name}"
+            df.write.parquet(self.root.at(tables[name]))
+        number = f"{int(since or 0) + 1:012}"
+        entry = json.dumps({"tables": tables, "format": f"{MAJOR}.0"})
+        if not self.root.write_new(f"{LOG}/{number}.json", entry, f"{LOG}/.{stage}"):
+            raise Conflict("the archive has changed since")
+        return number
 
     def export_json(self, path: str) -> None:
         """The whole archive as one JSON document per table, a row per line."""
+        out = Folder(self.spark, path)
         for name in TABLES:
-            self.read(name).write.mode("overwrite").json(f"file://{path}/{name}")
+            self.read(name).write.mode("overwrite").json(out.at(name))
 
     def import_manifest(self, path: str) -> None:
         """Takes over a manifest: one JSON document with a section per table; missing sections are empty."""
-        with open(path, encoding="utf-8") as f:
-            head = json.load(f)
-        if not str(head.get("spec", "1.0")).split(".")[0].isdigit() or int(str(head.get("spec", "1.0")).split(".")[0]) > MAJOR:
-            raise ValueError(f"format {head.get('spec')} is not known")
+        head = self.spark.read.text(path, wholetext=True).select(
+            F.get_json_object("value", "$").isNotNull().alias("whole"), F.coalesce(F.get_json_object("value", "$.spec"), F.lit("1.0")).alias("spec")
+        ).first()
+        if head is None or not head.whole:
+            raise ValueError("the manifest is no JSON document")
+        if not head.spec.split(".")[0].isdigit() or int(head.spec.split(".")[0]) > MAJOR:
+            raise ValueError(f"format {head.spec} is not known")
         sections = {n: f"array<struct<{_fields(s)}>>" for n, s in TABLES.items() if n not in ("export", "keys")}
         schema = ", ".join(f"{n}: {t}" for n, t in sections.items()) + f", export: struct<{_fields(TABLES['export'])}>"
-        df = self.spark.read.schema(schema.replace(": ", " ")).option("multiLine", True).json(f"file://{path}")
+        df = self.spark.read.schema(schema.replace(": ", " ")).option("multiLine", True).json(path)
         tables = {n: df.select(F.inline(F.coalesce(F.col(n), F.array().cast(t)))) for n, t in sections.items()}
         tables["export"] = df.where("export is not null").select("export.*")
         self.commit(tables, self.version())

@@ -169,7 +169,7 @@ def pack(lengths: DataFrame, windows: DataFrame) -> DataFrame:
     bucket = lambda c: F.floor(F.col(c) / RANGE_BUCKET)
     plans = plans.select(F.col("window_name").alias("_w"), F.col("length").alias("_l"), "first", "last", "bin", F.explode(F.sequence(bucket("first"), bucket("last"))).alias("_b"))
     here = (F.col("window_name") == F.col("_w")) & (F.col("length") == F.col("_l")) & (bucket("number") == F.col("_b")) & F.col("number").between(F.col("first"), F.col("last"))
-    return placed.join(plans, here).select(
+    return placed.join(plans.hint("merge"), here).select(
         "window_name", (F.col("bin") + F.col("number") - F.col("first")).alias("window_no"), "id", "piece", "start", "length"
     )
 

@@ -280,3 +280,46 @@ def test_render_and_publish(spark, tmp_path):
     assert kept.count() == 3 and WRITTEN
     clean(spark)
     assert not WRITTEN
+
+
+def test_alike_by_stems_or_letters(spark, monkeypatch):
+    """Against brute force over all pairs; equal phrases are one class; in one block or in many."""
+    import random
+    from difflib import SequenceMatcher
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice(["pri", "ce", "list", "de", "li", "very", "do", "cu", "ment", "ar", "chi"]) for _ in range(3))
+    base = [" ".join(word() for _ in range(r.randrange(2, 7))) for _ in range(60)]
+    data = [(f"t{i:03}", r.choice([x, x.upper() + "!", x[:-1], " ".join(reversed(x.split())), x.replace("e", "i")])) for i, x in enumerate(base * 2)] + [("t900", None), ("t901", ""), (None, "x"), ("t902", "a b")]
+    df = spark.createDataFrame(data, "id string, text string").withColumn("t", F.lit("clash"))
+    asked = df.where("id < 't020'")
+    phrase = {k: " ".join(w for w in "".join(c if c.isalnum() else " " for c in (x or "").lower()).split() if len(w) > 2) for k, x in data if k}
+    first = {}
+    for k in sorted(phrase):
+        first.setdefault(phrase[k], k)
+    queries = {first[phrase[k]] for k in phrase if k < "t020" and phrase[k]}
+    want = {}
+    for q in queries:
+        for p, k in first.items():
+            a, b = {w[:5] for w in phrase[q].split()}, {w[:5] for w in p.split()}
+            if a and b and k != q:
+                best = max(len(a & b) / min(len(a), len(b)), SequenceMatcher(None, phrase[q], p).ratio())
+                if best >= 0.62:
+                    want[q, k] = round(best, 9)
+    for size in (500, 7):
+        monkeypatch.setattr(archive, "BLOCK_TEXTS", size)
+        got = {(x["query"], x["id"]): round(x["similarity"], 9) for x in archive.alike_texts(asked, df).collect()}
+        assert got == want and len(want) > 10
+    assert archive.alike_texts(asked.limit(0), df).count() == 0 and archive.alike_texts(asked, df.limit(0)).count() == 0
+    assert {(x["id"], x["class"]) for x in archive.phrase_classes(df).collect()} == {(k, first[p]) for k, p in phrase.items() if p}
+
+
+def test_files_of_an_archive(spark):
+    paths = spark.createDataFrame([("INDEX.md",), ("raw/a",), ("raw/b",), (".git/x",), ("tmp/y",)], "path string")
+    assert sorted(r.place for r in lint.v07(paths).collect()) == sorted(x for x in lint.REQUIRED if x != "INDEX.md")
+    assert [r.place for r in lint.v11(paths).collect()] == ["tmp"]
+    things = spark.createDataFrame([item(id="i1", status="missing", raw_path="raw/a"), item(id="i2", raw_path="raw/b"), item(id="i3", raw_path="raw/b")], ITEM)
+    assert [r.place for r in lint.v06_appeared(things, paths).collect()] == ["i1"] and [(r.place, r.message) for r in lint.v17(things).collect()] == [("i3", "file of i2")]
+    cut = spark.createDataFrame([("r1", "pii", "x", True, "/out"), ("r1", "pii", "x", False, None), ("r2", "odd", " ", True, ""), ("r3", None, "x", None, "v/../in")], "id string, reason string, description string, reversible boolean, vault_ref string")
+    assert sorted((r.place, r.message) for r in lint.v15(cut).collect()) == [("r1", "id repeated"), ("r2", "no description"), ("r2", "no place of the original"), ("r2", "reason outside its domain"), ("r3", "original inside the archive"), ("r3", "reason outside its domain")]
+    assert tuple(lint.report(lint.v07(paths)).first()) == (False, 5, 0, False) and tuple(lint.report(lint.v07(paths).limit(0), True).first()) == (True, 0, 0, True)

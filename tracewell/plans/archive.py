@@ -762,10 +762,19 @@ def similar_records(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def similar_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """The same pairs with the likeness of their characters."""
-    texts = archive.once(table(spark, d, "requirements"), "quote").select("id", F.array_join(X.words_over_two(F.col("quote")), " ").alias("t"))
-    pairs = similar_records(spark, d).join(texts.select(F.col("id").alias("query"), F.col("t").alias("_a")), "query").join(texts.withColumnRenamed("t", "_b"), "id")
-    return pairs.select("query", "id", F.greatest("overlap", X.character_ratio(F.col("_a"), F.col("_b"))).alias("similarity"))
+    """Quotes like those of every hundredth requirement by stems or by characters, over all requirements, as classes."""
+    rows = table(spark, d, "requirements").select("id", F.col("quote").alias("text"))
+    asked = rows.where(F.substring("id", 2, 18).try_cast("long") % 100 == 0)
+    return archive.alike_texts(asked.select(F.col("id"), "text"), rows)
+
+
+_PHRASE = r"array_to_string(list_filter(string_split(regexp_replace(lower(quote), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: length(w) > 2), ' ')"
+
+
+@query(f"SELECT DISTINCT id, min(id) OVER (PARTITION BY t) AS class FROM (SELECT id, {_PHRASE} AS t FROM requirements WHERE quote IS NOT NULL) WHERE t <> ''")
+def similar_members(spark: SparkSession, d: str) -> DataFrame:
+    """The class of each requirement: the same words in the same order."""
+    return archive.phrase_classes(table(spark, d, "requirements").select("id", F.col("quote").alias("text")))
 
 
 @query(f"SELECT lower({_COLLAPSE.format('quote')}) AS text, min(id) AS first, count(DISTINCT id) AS records FROM requirements WHERE quote IS NOT NULL GROUP BY 1 HAVING count(DISTINCT id) > 1")

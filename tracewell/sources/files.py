@@ -7,11 +7,8 @@ import io
 import os
 import re
 import zipfile
-from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +70,9 @@ def embedded_media(data: bytes) -> list[tuple[str, bytes]]:
 def extract(files: DataFrame) -> DataFrame:
     """(path, text, chars, images, problem) of files (path, content); broken and unreadable ones have a problem."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
+        import pandas as pd
+
         for batch in batches:
             rows = []
             for path, content in zip(batch.path, batch.content):
@@ -106,7 +105,10 @@ def raw_tree(spark: SparkSession, root: str) -> DataFrame:
     folder = Folder(spark, root)
     base = root if "://" in root else f"file://{os.path.abspath(root)}"
 
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def listed(batches):
+        import pandas as pd
+        import pyarrow.fs as pafs
+
         fs, top = pafs.FileSystem.from_uri(base)
         for batch in batches:
             for name in batch.path:
@@ -115,7 +117,9 @@ def raw_tree(spark: SparkSession, root: str) -> DataFrame:
                 rows = [(f.path.removeprefix(top).lstrip("/"), f.size) for f in found if f.is_file]
                 yield pd.DataFrame(rows, columns=["path", "size"]).astype({"size": "int64"})
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashed(batches):
+        import pyarrow.fs as pafs
+
         fs, top = pafs.FileSystem.from_uri(base)
         for batch in batches:
             sums = []

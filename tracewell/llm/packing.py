@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections import Counter
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -161,7 +160,9 @@ def pack(lengths: DataFrame, windows: DataFrame) -> DataFrame:
     placed = checkpoint(placed)
     histogram = placed.groupBy("window_name", "capacity", "length").agg(F.count("*").alias("n"))
 
-    def planned(rows: pd.DataFrame) -> pd.DataFrame:  # at most one row per length up to the capacity
+    def planned(rows):  # at most one row per length up to the capacity
+        import pandas as pd
+
         windows = plan(dict(zip(rows["length"].tolist(), rows["n"].tolist())), int(rows["capacity"].iloc[0]))
         return pd.DataFrame(plan_rows(rows["window_name"].iloc[0], windows), columns=PLAN.names)
 

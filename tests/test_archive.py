@@ -314,6 +314,35 @@ def test_alike_by_stems_or_letters(spark, monkeypatch):
     assert {(x["id"], x["class"]) for x in archive.phrase_classes(df).collect()} == {(k, first[p]) for k, p in phrase.items() if p}
 
 
+def test_alike_in_bulk():
+    """Like SequenceMatcher and stems for all pairs, at any length; a pair costs about a microsecond, not seventy."""
+    import random
+    import time
+    from difflib import SequenceMatcher
+
+    from tracewell.functions.alike import alike
+
+    r = random.Random(5)
+    text = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    texts = [text(n, letters) for n in (1, 2, 5, 62, 63, 64, 125, 126, 127, 128, 189, 190, 199, 200, 201, 260, 330) for letters in ("ab", "abc ", "abcdefgh ", "аб й", "a\U0001f33f\0")]
+    texts += ["".join(r.choice([c, c, c, ""]) for c in x) or "a" for x in texts]
+    rows = [(x, sorted({w[:5] for w in x.split(" ")})) for x in texts]
+    got = {(a, b): c for part in alike(rows, rows[::-1], 0.62) for a, b, c in zip(*(x.tolist() for x in part))}
+    want = {}
+    for i, (x, s) in enumerate(rows):
+        for j, (y, t) in enumerate(rows[::-1]):
+            best = max(len(set(s) & set(t)) / min(len(s), len(t)), SequenceMatcher(None, x, y).ratio())
+            if best >= 0.62:
+                want[i, j] = best
+    assert got == want and len(want) > 1000
+    words = [text(r.randrange(3, 9), "etaoinshrdlu") for _ in range(400)]
+    many = [[r.choice(words) for _ in range(10)] for _ in range(4_000)]
+    many = [(" ".join(x), sorted({w[:5] for w in x})) for x in many]
+    began = time.process_time()
+    assert sum(len(part[0]) for part in alike(many[:100], many, 0.62)) >= 100
+    assert time.process_time() - began < 6
+
+
 def test_files_of_an_archive(spark):
     paths = spark.createDataFrame([("INDEX.md",), ("raw/a",), ("raw/b",), (".git/x",), ("tmp/y",)], "path string")
     assert sorted(r.place for r in lint.v07(paths).collect()) == sorted(x for x in lint.REQUIRED if x != "INDEX.md")

@@ -80,6 +80,36 @@ def test_recall_of_names_off_the_list(spark):
     assert len(every) > 1500 and len(got & every) / len(every) >= 0.97 and got <= every
 
 
+def test_no_words_alike_are_left_out(spark):
+    """All words alike meet, by brute force: at the least likeness, of any length, swapped, however many names have them."""
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("abdeiklmnorstuvz") for _ in range(n))
+    words = [word(n) for n in (3, 4, 5, 6, 8, 9, 9, 10, 12, 13, 14, 16, 18, 23, 27, 32, 41, 112) for _ in range(6)]
+    other = lambda w: w[: (i := r.randrange(len(w) - 1))] + r.choice([w[i + 1] + w[i] + w[i + 2 :], w[i + 1 :], r.choice("aeiou") + w[i + 1 :], r.choice("aeiou") + w[i:]])
+    for w in list(words):
+        for _ in range(6):
+            x = w
+            for _ in range(max(1, names.most_edits(len(w), 1 - linkage.LEAST_WORD))):
+                x = other(x)
+            words.append(x)
+    words = sorted({w for w in words if w})
+    every = {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if abs(len(a) - len(b)) < 30 and names.likeness(a, b) >= linkage.LEAST_WORD}
+    keys = [(f"{w}|{x}", [w, x], True) for w in words for x in (f"q{i:02}" for i in range(20))]
+    df = linkage._words(spark.createDataFrame(keys, "key string, words array<string>, listed boolean"))
+    got = [(x.word, x.near) for x in linkage.near_words(df).collect()]
+    assert len(got) == len(set(got)) and {p for p in got if p[0][0] != "q" or len(p[0]) != 3} == every and len(every) > 400
+
+
+def test_names_of_many_words(spark):
+    """A misspelt name of more than a dozen words meets the name."""
+    words = sorted({f"{a}{b}ter" for a in ("mar", "ten", "bel", "ka") for b in ("ros", "vin", "gul", "pad")})
+    wrong = sorted([*words[1:], words[0][:-1] + "n"])
+    df = spark.createDataFrame([("|".join(x), x, True) for x in (words, wrong)], "key string, words array<string>, listed boolean")
+    near = linkage.near_words(linkage._words(df))
+    near = near.select("word", "near").unionByName(near.select(F.col("near").alias("word"), F.col("word").alias("near")))
+    assert {(x.key, x.near) for x in linkage.near_keys(df, near).collect()} == {("|".join(words), "|".join(wrong)), ("|".join(wrong), "|".join(words))}
+
+
 PEOPLE = "id string, display string, role string, aliases array<string>, handles map<string,string>, note string, key string, cluster int"
 
 
